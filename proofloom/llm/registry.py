@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofloom.llm import queries_pool, queries_text
+from proofloom.llm import queries_corpus, queries_pool, queries_text
 
-_MODULES = [queries_text, queries_pool]
+_MODULES = [queries_text, queries_pool, queries_corpus]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
