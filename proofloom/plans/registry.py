@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofloom.plans import problems
+from proofloom.plans import audit, problems
 
-_MODULES = [problems]
+_MODULES = [problems, audit]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
