@@ -15,7 +15,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofloom.lineage import cut
@@ -34,6 +34,8 @@ _AS = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)) | dict.fromkeys(HYPHEN
 _GONE = dict.fromkeys(map(ord, IGNORABLE))
 #: Characters of the route that brings a token and the vocabulary it could match to the same trie.
 ROUTE = 6
+#: Characters from which runs of suspects are merged, and the gap that is.
+MERGE_FROM, MERGE_GAP = 0x0600, 0x1000
 #: Tokens per trie.
 BUCKET = 20_000
 
@@ -120,17 +122,27 @@ def best(token: str, found: dict[tuple[str, int], int]) -> str:
 
 @lru_cache(1)
 def suspects() -> str:
-    """Java character class of all characters that folding, composing or dropping can change."""
+    """Java character class of all characters that folding, composing or dropping can change.
+
+    Runs above MERGE_FROM that lie close together are merged, so the class has few ranges; a character that is
+    caught without need only costs its token a look-up.
+    """
     odd = [i for i in range(128, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and table_spelling(chr(i)) != chr(i)]
     runs: list[list[int]] = []
     for i in odd:
-        if runs and runs[-1][1] == i - 1:
+        if runs and i - runs[-1][1] <= (MERGE_GAP if i >= MERGE_FROM else 1):
             runs[-1][1] = i
         else:
             runs.append([i, i])
     return r"[\p{M}ᄀ-ᇿ" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in runs) + "]"
 
 
+def suspect(c: Column | str) -> Column:
+    """Whether a text holds a character of ``suspects``; ASCII texts are told by a plain scan."""
+    x = F.col(c) if isinstance(c, str) else c
+    return x.rlike(r"[^\x00-\x7F]") & x.rlike(suspects())
+
+
 def spellings(texts: DataFrame) -> DataFrame:
     """(token, spelling) for every distinct token of ``texts.text`` that holds a character which may be disguised.
 
@@ -138,9 +150,8 @@ def spellings(texts: DataFrame) -> DataFrame:
     of routes (first ROUTE characters and length of the table spelling) that a suspect token has enter the tries, in
     buckets of about BUCKET tokens.
     """
-    suspect = suspects()
     tokens = texts.select(F.explode(F.split(F.regexp_replace("text", r"\p{Zs}", " "), " ")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
-    tokens = cut(tokens.withColumn("odd", F.col("token").rlike(suspect)))
+    tokens = cut(tokens.withColumn("odd", suspect("token")))
 
     @F.pandas_udf("table string, well boolean")
     def read(t: pd.Series) -> pd.DataFrame:
@@ -173,16 +184,15 @@ def consistent(texts: DataFrame) -> DataFrame:
     names id, token and form are reserved.
     """
     some = texts.filter("text is not null").select("text")
-    suspect = F.col("text").rlike(suspects())
-    odd = cut(some.filter(suspect).distinct().withColumn("id", F.md5(F.col("text").cast("binary"))))
+    odd = cut(some.filter(suspect("text")).distinct().withColumn("id", F.md5(F.col("text").cast("binary"))))
     pieces = odd.withColumn("tokens", F.split(F.regexp_replace("text", r"\p{Zs}", " "), " "))
     words = cut(spellings(some))
-    asked = pieces.select("id", F.explode(F.array_distinct(F.filter("tokens", lambda t: t.rlike(suspects())))).alias("token"))
+    asked = pieces.select("id", F.explode(F.array_distinct(F.filter("tokens", suspect))).alias("token"))
     maps = asked.join(words, "token").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "spelling"))).alias("m"))
     put = F.transform("tokens", lambda t: F.coalesce(F.element_at("m", t), t))
     forms = pieces.join(maps, "id", "left").select("id", F.when(F.col("m").isNull(), F.array_join("tokens", " ")).otherwise(F.array_join(put, " ")).alias("form"))
-    clean = texts.filter(F.col("text").isNull() | ~suspect).withColumn("form", F.col("text"))
-    back = texts.filter(suspect).withColumn("id", F.md5(F.col("text").cast("binary"))).join(forms, "id").drop("id")
+    clean = texts.filter(F.col("text").isNull() | ~suspect("text")).withColumn("form", F.col("text"))
+    back = texts.filter(suspect("text")).withColumn("id", F.md5(F.col("text").cast("binary"))).join(forms, "id").drop("id")
     return clean.unionByName(back)
 
 
