@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofloom.plans import audit, problems
+from proofloom.plans import audit, problems, readmodels
 
-_MODULES = [problems, audit]
+_MODULES = [problems, audit, readmodels]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -57,7 +57,7 @@ def step(spark: SparkSession, folder: str) -> DataFrame:
 def evidence(spark: SparkSession, folder: str) -> DataFrame:
     n = "cast(substr(evidence_hash, 2) as bigint)"
     names = ", ".join(f"'{s}'" for s in SOURCES)
-    return _lines(spark, folder).select("evidence_hash").distinct().selectExpr("evidence_hash", f"element_at(array({names}), cast({n} % 8 as int) + 1) AS source_api", f"{n} % 3 = 0 AS is_curated")
+    return _lines(spark, folder).select("evidence_hash").distinct().selectExpr("evidence_hash", f"element_at(array({names}), cast(({n} + div({n}, 8)) % 8 as int) + 1) AS source_api", f"{n} % 3 = 0 AS is_curated")
 
 
 def membership(spark: SparkSession, folder: str) -> DataFrame:
@@ -130,7 +130,7 @@ step_v AS (SELECT 'run_' || l_linestatus AS run_id, stmt_hash, evidence_hash,
   CAST(l_quantity * 10 AS INT) AS latency_ms,
   CASE WHEN l_quantity = 2 THEN -1 WHEN l_quantity = 3 THEN NULL ELSE CAST(floor(l_extendedprice / 100) AS INT) END AS prompt_tokens,
   l_linenumber AS out_tokens, CASE WHEN l_quantity = 1 THEN 'timeout' WHEN l_quantity = 2 THEN ' ' END AS error FROM {_L}),
-evidence_v AS (SELECT evidence_hash, ([{", ".join(f"'{s}'" for s in SOURCES)}])[CAST(substr(evidence_hash, 2) AS BIGINT) % 8 + 1] AS source_api,
+evidence_v AS (SELECT evidence_hash, ([{", ".join(f"'{s}'" for s in SOURCES)}])[(CAST(substr(evidence_hash, 2) AS BIGINT) + CAST(substr(evidence_hash, 2) AS BIGINT) // 8) % 8 + 1] AS source_api,
   CAST(substr(evidence_hash, 2) AS BIGINT) % 3 = 0 AS is_curated FROM (SELECT DISTINCT evidence_hash FROM {_L})),
 membership_v AS (SELECT DISTINCT stmt_hash, evidence_hash FROM {_L}),
 truth_label_v AS (SELECT DISTINCT evidence_hash AS target_id, CASE WHEN l_suppkey % 2 = 0 THEN stmt_hash END AS relation_target_id,
