@@ -39,6 +39,13 @@ def cut(df: DataFrame) -> DataFrame:
     return again
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, deleted when the driver ends."""
+    path = f"{shared_folder(spark)}/proofloom/{name}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)

@@ -53,14 +53,14 @@ def reliability(counts: DataFrame, keys: list[str], priors: dict[str, tuple[floa
     p = F.broadcast(prior_table(counts.sparkSession, priors))
     x = counts.withColumn("__s", F.lower("source")).join(p.withColumnRenamed("source", "__s"), "__s", "left")
     factor = F.coalesce("syst", F.lit(OTHER[1])) + F.pow(F.coalesce("rand", F.lit(OTHER[0])), "n")
-    return x.groupBy(*keys).agg(F.product(F.when(F.col("n") > 0, factor)).alias("p")).select(*keys, F.coalesce(clamp(1 - F.col("p")), F.lit(0.0)).alias("reliability"))
+    return x.groupBy(*keys).agg(F.product(F.when(F.col("n") > 0, factor)).alias("__p")).select(*keys, F.coalesce(clamp(1 - F.col("__p")), F.lit(0.0)).alias("reliability"))
 
 
 def spread(edges: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, source, n) from rows (keys, sources, total): one evidence a distinct source, the rest to the first by name."""
     x = edges.withColumn("__u", F.array_sort(F.array_distinct("sources"))).filter("total > 0")
-    x = x.select(*keys, "total", F.size("__u").alias("k"), F.posexplode("__u").alias("i", "source"))
-    return x.select(*keys, "source", F.when(F.col("i") == 0, F.greatest(F.lit(1), 1 + F.col("total") - F.col("k"))).otherwise(1).alias("n"))
+    x = x.select(*keys, "total", F.size("__u").alias("__k"), F.posexplode("__u").alias("__i", "source"))
+    return x.select(*keys, "source", F.when(F.col("__i") == 0, F.greatest(F.lit(1), 1 + F.col("total") - F.col("__k"))).otherwise(1).alias("n"))
 
 
 def gated(evidence: DataFrame, keys: list[str], priors: dict[str, tuple[float, float]] = PRIORS) -> DataFrame:
@@ -70,12 +70,12 @@ def gated(evidence: DataFrame, keys: list[str], priors: dict[str, tuple[float, f
     ``included`` counts as included, a null source raises an error when the row is read.
     """
     src = F.coalesce(F.lower("source"), F.raise_error(F.lit("evidence without a source")))
-    per = evidence.withColumn("__s", src).groupBy(*keys, "__s").agg(F.count("*").alias("n"), F.count_if(F.coalesce("included", F.lit(True))).alias("ok"))
+    per = evidence.withColumn("__s", src).groupBy(*keys, "__s").agg(F.count("*").alias("__n"), F.count_if(F.coalesce("included", F.lit(True))).alias("__ok"))
     x = per.join(F.broadcast(prior_table(evidence.sparkSession, priors).withColumnRenamed("source", "__s")), "__s", "left")
     rand, syst = F.coalesce("rand", F.lit(OTHER[0])), F.coalesce("syst", F.lit(OTHER[1]))
-    kept = F.product(F.when(F.col("ok") == 0, 1.0).otherwise(syst + F.pow(rand, "ok")))
-    whole = F.product(syst + F.pow(rand, "n"))
-    return x.groupBy(*keys).agg(clamp(1 - kept).alias("belief"), clamp(1 - whole).alias("parametric"), F.sum("n").alias("n_total"), F.sum("ok").alias("n_surviving"))
+    kept = F.product(F.when(F.col("__ok") == 0, 1.0).otherwise(syst + F.pow(rand, "__ok")))
+    whole = F.product(syst + F.pow(rand, "__n"))
+    return x.groupBy(*keys).agg(clamp(1 - kept).alias("belief"), clamp(1 - whole).alias("parametric"), F.sum("__n").alias("n_total"), F.sum("__ok").alias("n_surviving"))
 
 
 def contradiction(directed: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,7 +84,7 @@ def contradiction(directed: DataFrame, keys: list[str]) -> DataFrame:
     The most reliable direction dominates (of equals the smaller name); it is weakened by the best of the other
     directions, of which unknown doesn't count.
     """
-    top = directed.groupBy(*keys).agg(F.min_by(F.struct("direction", "reliability"), F.struct(-F.col("reliability"), "direction")).alias("t"))
-    x = directed.join(top, keys).filter("direction <> t.direction and direction <> 'unknown'").groupBy(*keys).agg(F.max("reliability").alias("o"))
+    top = directed.groupBy(*keys).agg(F.min_by(F.struct("direction", "reliability"), F.struct(-F.col("reliability"), "direction")).alias("__t"))
+    x = directed.join(top, keys).filter("direction <> __t.direction and direction <> 'unknown'").groupBy(*keys).agg(F.max("reliability").alias("__o"))
     y = top.join(x, keys, "left")
-    return y.select(*keys, (F.col("t.reliability") * (1 - F.coalesce("o", F.lit(0.0)))).alias("reliability"), F.col("t.direction").alias("direction"), F.col("o").isNotNull().alias("contradictory"))
+    return y.select(*keys, (F.col("__t.reliability") * (1 - F.coalesce("__o", F.lit(0.0)))).alias("reliability"), F.col("__t.direction").alias("direction"), F.col("__o").isNotNull().alias("contradictory"))

@@ -53,10 +53,10 @@ def memberships(docs: DataFrame) -> DataFrame:
 
 
 def evidences(docs: DataFrame) -> DataFrame:
-    """One row per evidence_hash, the smallest of differing contents, with the epistemic flags as three-valued booleans."""
+    """One row per evidence_hash, the largest of differing contents (so known values go before null), with the epistemic flags as three-valued booleans."""
     m = memberships(docs).select("evidence_hash", "e.source_api", "e.pmid", "e.text", "e.epistemics.direct", "e.epistemics.negated", "e.epistemics.curated")
     cols = m.columns[1:]
-    return m.groupBy("evidence_hash").agg(F.min(F.struct(*cols)).alias("r")).select("evidence_hash", *[F.col(f"r.{c}").alias(c) for c in cols])
+    return m.groupBy("evidence_hash").agg(F.max(F.struct(*cols)).alias("r")).select("evidence_hash", *[F.col(f"r.{c}").alias(c) for c in cols])
 
 
 def agents(docs: DataFrame) -> DataFrame:

@@ -90,12 +90,15 @@ def _items(k: str, v: object) -> list[tuple[str, object, int]]:
 
 
 def statement_rows(x: object, auto: Automaton) -> Iterator[tuple]:
-    """(path, value, variant, parent path, position) of every agent and evidence of a statement document."""
+    """(path, value, variant, parent path, position) of every agent and evidence of a statement document.
+
+    The parent of a bound agent is the agent it is bound to, of all others the statement, whose path is empty.
+    """
     if not isinstance(x, dict):
         return
-    todo: list[tuple[str, object]] = [("", x)]
+    todo: list[tuple[str, object, str]] = [("", x, "")]
     while todo:
-        at, o = todo.pop()
+        at, o, owner = todo.pop()
         for k, v in o.items():
             if not isinstance(v, (dict, list)):
                 continue
@@ -110,10 +113,10 @@ def statement_rows(x: object, auto: Automaton) -> Iterator[tuple]:
                 s = auto.state(y)
                 if k in ROLES and s == "agent":
                     if (name := scalar(y.get("name"))) is not None:
-                        yield path, name, "agent", at, i
-                    todo.append((path, y))
+                        yield path, name, "agent", owner, i
+                    todo.append((path, y, path))
                 elif k in ROLES or k == "bound_conditions" or s in ("binding", "agent"):
-                    todo.append((path, y))
+                    todo.append((path, y, owner))
 
 
 def evidence_rows(x: object, auto: Automaton) -> Iterator[tuple]:

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofloom.plans import audit, problems, readmodels
+from proofloom.plans import audit, pipelines, problems, readmodels
 
-_MODULES = [problems, audit, readmodels]
+_MODULES = [problems, audit, readmodels, pipelines]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
