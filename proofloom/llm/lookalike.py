@@ -50,7 +50,7 @@ def fold(c: str) -> str:
         return " "
     how = unicodedata.decomposition(c).partition(" ")[0]
     if how in ("<wide>", "<narrow>", "<noBreak>") or how == "<compat>" and (kind[0] == "L" or kind == "Nl"):
-        return unicodedata.normalize("NFKC", c)
+        return "".join(_AS.get(x, x) for x in unicodedata.normalize("NFKC", c))
     return c
 
 
@@ -180,19 +180,22 @@ def consistent(texts: DataFrame) -> DataFrame:
 
     Null stays null and the empty text empty. Blanks of every kind become ordinary ones; tabs, line breaks, the number
     of blanks, letter case, accents, digits and punctuation stay. Texts with no suspect character keep their spelling
-    and take no part in any shuffle but the count of tokens. Repeated rows stay, other columns pass through; only the
-    names id, token and form are reserved.
+    and take no part in any shuffle but the count of tokens. Repeated rows stay and other columns pass through,
+    whatever their names (a column ``form`` is replaced).
     """
     some = texts.filter("text is not null").select("text")
-    odd = cut(some.filter(suspect("text")).distinct().withColumn("id", F.md5(F.col("text").cast("binary"))))
+    digest = F.md5(F.col("text").cast("binary")).alias("__id")
+    odd = cut(some.filter(suspect("text")).distinct().select("text", digest))
     pieces = odd.withColumn("tokens", F.split(F.regexp_replace("text", r"\p{Zs}", " "), " "))
     words = cut(spellings(some))
-    asked = pieces.select("id", F.explode(F.array_distinct(F.filter("tokens", suspect))).alias("token"))
-    maps = asked.join(words, "token").groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("token", "spelling"))).alias("m"))
+    asked = pieces.select("__id", F.explode(F.array_distinct(F.filter("tokens", suspect))).alias("token"))
+    maps = asked.join(words, "token").groupBy("__id").agg(F.map_from_entries(F.collect_list(F.struct("token", "spelling"))).alias("m"))
     put = F.transform("tokens", lambda t: F.coalesce(F.element_at("m", t), t))
-    forms = pieces.join(maps, "id", "left").select("id", F.when(F.col("m").isNull(), F.array_join("tokens", " ")).otherwise(F.array_join(put, " ")).alias("form"))
-    clean = texts.filter(F.col("text").isNull() | ~suspect("text")).withColumn("form", F.col("text"))
-    back = texts.filter(suspect("text")).withColumn("id", F.md5(F.col("text").cast("binary"))).join(forms, "id").drop("id")
+    spelled = F.when(F.col("m").isNull(), F.array_join("tokens", " ")).otherwise(F.array_join(put, " "))
+    forms = pieces.join(maps, "__id", "left").select("__id", spelled.alias("form"))
+    keep = texts.drop("form")
+    clean = keep.filter(F.col("text").isNull() | ~suspect("text")).withColumn("form", F.col("text"))
+    back = keep.filter(suspect("text")).withColumn("__id", digest).join(forms, "__id").drop("__id")
     return clean.unionByName(back)
 
 

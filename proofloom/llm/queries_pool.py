@@ -50,7 +50,23 @@ def p5_sample(spark: SparkSession, folder: str) -> DataFrame:
     return x.select("category_field", "category", F.col("unit").alias("source_hash"), "priority", "floor")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_report, p5_found, p5_report, p5_sample)}
+def p5_joint_sample(spark: SparkSession, folder: str) -> DataFrame:
+    """One sample that meets the targets of all fields together."""
+    x = sampling.joint_sample(table(spark, folder, "fewshot_pool"), "source_hash", "record_id", FIELDS, table(spark, folder, "sample_target"))
+    return x.withColumnsRenamed({"record": "record_id", "unit": "source_hash"})
+
+
+def p5_joint_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Every target with its share of the joint sample."""
+    x = p5_joint_sample(spark, folder)
+    long = x.select(F.explode(F.array(*[F.struct(F.lit(f).alias("category_field"), F.col(f).alias("c")) for f in FIELDS])).alias("p")).select("p.*")
+    got = long.groupBy("category_field", "c").agg(F.count("*").alias("drawn"))
+    t = table(spark, folder, "sample_target").withColumn("c", sampling.label("category"))
+    y = t.join(got, ["category_field", "c"], "left").na.fill(0, ["drawn"])
+    return y.select("category_field", "category", "target_share", "min_rows", "drawn", (F.col("drawn") / F.col("sample_size")).alias("share"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_splits, p2_report, p5_found, p5_report, p5_sample, p5_joint_sample, p5_joint_report)}
 _LABEL = r"regexp_replace(lower(regexp_replace({}, '^\s+|\s+$', '', 'g')), '[_\-\s]+', '_', 'g')"
 _SHORT = f"""SELECT t.category_field, t.category, greatest(CAST(floor(t.target_share * t.sample_size + 0.5 + 1e-9) AS BIGINT), t.min_rows) AS required, coalesce(n, 0) AS available
   FROM sample_target t LEFT JOIN (SELECT f, c, count(DISTINCT source_hash) AS n FROM (

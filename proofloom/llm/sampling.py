@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -79,3 +80,65 @@ def sample_report(pool: DataFrame, unit: str, fields: list[str], targets: DataFr
     x = t.join(there, ["category_field", "c"], "left").join(drawn, ["category_field", "category"], "left")
     x = x.withColumn("available", F.coalesce("available", F.lit(0))).withColumn("drawn", F.coalesce("drawn", F.lit(0)))
     return x.select("category_field", "category", "target_share", "quota", "required", "available", "drawn", (F.col("available") < F.col("required")).alias("short"))
+
+
+def fitted(available: np.ndarray, margins: list[np.ndarray], rounds: int = 100) -> np.ndarray:
+    """Real-valued seats of every cell: the available numbers scaled in turn to each margin, never above themselves.
+
+    Where the margins can't be met with what is available the last scaling wins and the caps stay.
+    """
+    x = available.astype(float)
+    for _ in range(rounds):
+        for axis, want in enumerate(margins):
+            others = tuple(i for i in range(x.ndim) if i != axis)
+            have = x.sum(axis=others)
+            factor = np.divide(want, have, out=np.zeros_like(want, dtype=float), where=have > 0)
+            x = np.minimum(x * factor.reshape([-1 if i == axis else 1 for i in range(x.ndim)]), available)
+    return x
+
+
+def joint_sample(pool: DataFrame, unit: str, record: str, fields: list[str], targets: DataFrame, seed: int = 7) -> DataFrame:
+    """(record, unit, fields, priority, floor): one sample whose shares meet the targets of all fields together.
+
+    Each unit is represented by its smallest ``record``. The categories of the fields (and one for all without a
+    target, which gets no seats) form cells, at most the product of the numbers of targets plus one; their sizes are
+    scaled to the margins of all fields (``fitted``), and the divisor method runs over the cells: the unit of rank r
+    in a cell with x seats has the priority (r - 0.5) / x. The first min_rows units of every category, in random
+    order, come before all others; then the smallest priorities fill the sample. Null units are not drawn.
+    """
+    t = cut(_required(targets))
+    known = {f: [] for f in fields}
+    share: dict[tuple[str, str], tuple[float, int]] = {}
+    size = 0
+    for r in t.collect():
+        if r["category_field"] in known:
+            known[r["category_field"]].append(r["c"])
+            share[r["category_field"], r["c"]] = (float(r["target_share"] or 0), int(r["min_rows"] or 0))
+            size = max(size, int(r["sample_size"] or 0))
+    for f in fields:
+        known[f].sort()
+    at = [F.coalesce(F.when(label(f).isin(known[f]), label(f)), F.lit("")).alias(f"c{i}") for i, f in enumerate(fields)]
+    cells = [f"c{i}" for i in range(len(fields))]
+    one = pool.filter(F.col(unit).isNotNull()).select(F.col(unit).alias("unit"), F.struct(F.col(record).cast("string").alias("record"), *at).alias("r"))
+    units = cut(one.groupBy("unit").agg(F.min("r").alias("r")).select("unit", "r.*"))
+    shape = [len(known[f]) + 1 for f in fields]
+    available = np.zeros(shape)
+    for r in units.groupBy(*cells).agg(F.count("*").alias("n")).collect():
+        available[tuple(known[f].index(r[c]) + 1 if r[c] else 0 for f, c in zip(fields, cells))] = r["n"]
+    margins = [np.array([0.0, *[share[f, c][0] * size for c in known[f]]]) for f in fields]
+    seats = fitted(available, margins)
+    spark = pool.sparkSession
+    listed = [(*[known[f][k - 1] if k else "" for f, k in zip(fields, i)], float(seats[i])) for i in np.ndindex(*shape) if available[i]]
+    table = spark.createDataFrame(listed, ", ".join(f"{c} string" for c in cells) + ", seats double")
+    x = ranked(units, cells, F.xxhash64("unit", F.lit(seed))).join(bounded_broadcast(table), cells)
+    for i, f in enumerate(fields):
+        x = ranked(x, [f"c{i}"], F.xxhash64("unit", F.lit(seed + 1 + i)), name=f"r{i}")
+        floors = F.coalesce(F.element_at(F.create_map(*[F.lit(v) for c in known[f] for v in (c, share[f, c][1])] or [F.lit(""), F.lit(0)]), F.col(f"c{i}")), F.lit(0))
+        x = x.withColumn(f"f{i}", F.col(f"r{i}") <= floors)
+    floor = F.lit(False)
+    for i in range(len(fields)):
+        floor = floor | F.col(f"f{i}")
+    x = x.withColumn("floor", floor).withColumn("priority", F.when(F.col("seats") > 0, (F.col("rank") - 0.5) / F.col("seats")).otherwise(F.lit(float("inf"))))
+    x = cut(x.filter("floor or priority < double('infinity')").withColumn("category_field", F.lit("all")).withColumn("c", F.concat_ws("|", *cells)))
+    drawn = ranked_by_priority(x).filter(F.col("seat") <= size)
+    return drawn.select("record", "unit", *[F.col(c).alias(f) for c, f in zip(cells, fields)], "priority", "floor")
