@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proofloom.operators.skew import spread_out
+
 #: Keys whose value is an array; a single value there is an array of one.
 ARRAYS = frozenset(["members", "bound_conditions", "evidence", "raw_text"])
 #: Keys under which a statement, or an object bound to an agent, holds its agents.
@@ -157,7 +159,7 @@ def flatten(df: DataFrame, source_table: str, parent_key: Column | str, json_col
 
     Rows without a key, and documents that are null, empty or not valid JSON as a whole, give no rows. Null and empty
     values give no row, but positions count them. Repeated rows give repeated items; other columns are ignored. Only
-    the key and the document leave the JVM, in Arrow batches; nothing is shuffled.
+    the key and the document leave the JVM, in Arrow batches; a scan with fewer partitions than cores is dealt out first.
     """
     read = _READERS[reader]
 
@@ -177,7 +179,8 @@ def flatten(df: DataFrame, source_table: str, parent_key: Column | str, json_col
             yield pa.RecordBatch.from_arrays([pa.array([source_table] * len(keys), pa.string()), pa.array(keys, pa.string()), *(pa.array(c, pa.string()) for c in out[:4]), pa.array(out[4], pa.int32())], schema=_ARROW)
 
     k = F.col(parent_key) if isinstance(parent_key, str) else parent_key
-    return df.select(k.cast("string").alias("k"), F.col(json_col).alias("j")).filter("k is not null and j is not null").mapInArrow(rows, SCHEMA)
+    docs = df.select(k.cast("string").alias("k"), F.col(json_col).alias("j")).filter("k is not null and j is not null")
+    return spread_out(docs).mapInArrow(rows, SCHEMA)
 
 
 def variant(nodes: DataFrame, name: str) -> DataFrame:

@@ -22,6 +22,15 @@ def bounded_broadcast(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
 
 
+def spread_out(df: DataFrame) -> DataFrame:
+    """``df`` dealt out to all cores if its scan has fewer partitions than there are cores (one large file, say).
+
+    For steps that spend much time on a row; a scan with enough partitions is left as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def join_keyed(big: DataFrame, keyed: DataFrame, key: str, rows: str) -> DataFrame:
     """Inner join of ``big`` with ``keyed``, which has one row per key and the key's row count in ``big`` as ``rows``.
 

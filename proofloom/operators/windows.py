@@ -13,13 +13,11 @@ def first_by(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], at: str = "started_at", tie: str = "step_hash") -> DataFrame:
-    """The newest row of each key, as a partial aggregate: no group is sorted and hot keys combine before the shuffle.
+    """The newest row of each key; a row without a time is older than any other, of equal times the largest ``tie`` wins.
 
-    A row whose time is null is older than any other; of equal times the largest ``tie`` wins.
+    Spark keeps one row a key and task before the shuffle, so a key that a third of all rows hold is cheap.
     """
-    rest = [c for c in df.columns if c not in keys]
-    best = F.max_by(F.struct(*rest), F.struct(F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(-(1 << 62))), tie))
-    return df.groupBy(*keys).agg(best.alias("__r")).select(*keys, *[F.col(f"__r.{c}").alias(c) for c in rest])
+    return first_by(df, keys, [F.desc_nulls_last(at), F.desc_nulls_last(tie)])
 
 
 def gold(labels: DataFrame, steps: DataFrame) -> DataFrame:
@@ -29,11 +27,9 @@ def gold(labels: DataFrame, steps: DataFrame) -> DataFrame:
     a label have no row. The join keeps its equality on the evidence and tests the statement in its condition.
     """
     on = (F.col("l.target_id") == F.col("s.evidence_hash")) & (F.col("l.relation_target_id").isNull() | (F.col("l.relation_target_id") == F.col("s.stmt_hash")))
-    order = F.struct(F.col("l.relation_target_id").isNull().cast("int"), (F.col("l.field") != "verdict").cast("int"), "l.value_text")
-    x = steps.alias("s").join(labels.alias("l"), on)
-    return x.groupBy("s.run_id", "s.stmt_hash", "s.evidence_hash", "s.step_hash", "s.verdict").agg(
-        F.min_by("l.value_text", order).alias("gold"), F.min_by("l.field", order).alias("gold_field")
-    )
+    key = ["run_id", "stmt_hash", "evidence_hash", "step_hash"]
+    x = steps.alias("s").join(labels.alias("l"), on).select(*[f"s.{c}" for c in key], "s.verdict", F.col("l.value_text").alias("gold"), F.col("l.field").alias("gold_field"), F.col("l.relation_target_id").isNull().alias("general"))
+    return first_by(x, key, [F.col("general"), (F.col("gold_field") != "verdict"), F.asc_nulls_last("gold")]).drop("general")
 
 
 def page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFrame:
