@@ -15,6 +15,13 @@ from pyspark.sql import DataFrame, SparkSession
 _made: list[tuple[SparkSession, str]] = []
 
 
+def _remember(spark: SparkSession, path: str) -> None:
+    if not _made:  # registered after the gateway's own handler, so it runs before the JVM is gone
+        atexit.unregister(_drop_all)
+        atexit.register(_drop_all)
+    _made.append((spark, path))
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session; a temporary one is made only for a local master without a setting."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
@@ -33,7 +40,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/proofloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _made.append((spark, path))
+    _remember(spark, path)
     again = spark.read.schema(df.schema).parquet(path)
     again._proofloom_path = path
     return again
@@ -42,7 +49,7 @@ def cut(df: DataFrame) -> DataFrame:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver ends."""
     path = f"{shared_folder(spark)}/proofloom/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
+    _remember(spark, path)
     return path
 
 
@@ -60,7 +67,6 @@ def drop(df: DataFrame | None) -> None:
         _made[:] = [x for x in _made if x[1] != path]
 
 
-@atexit.register
 def _drop_all() -> None:
     for spark, path in _made:
         try:

@@ -82,9 +82,11 @@ def contradiction(directed: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, reliability, direction, contradictory) from rows (keys, direction, reliability).
 
     The most reliable direction dominates (of equals the smaller name); it is weakened by the best of the other
-    directions, of which unknown doesn't count.
+    directions, of which unknown doesn't count. There are few directions, so a key's are gathered in one array.
     """
-    top = directed.groupBy(*keys).agg(F.min_by(F.struct("direction", "reliability"), F.struct(-F.col("reliability"), "direction")).alias("__t"))
-    x = directed.join(top, keys).filter("direction <> __t.direction and direction <> 'unknown'").groupBy(*keys).agg(F.max("reliability").alias("__o"))
-    y = top.join(x, keys, "left")
-    return y.select(*keys, (F.col("__t.reliability") * (1 - F.coalesce("__o", F.lit(0.0)))).alias("reliability"), F.col("__t.direction").alias("direction"), F.col("__o").isNotNull().alias("contradictory"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("reliability")).alias("r"), "direction")))
+    x = directed.groupBy(*keys).agg(ordered.alias("__d"))
+    top = F.col("__d")[0]
+    other = F.filter(F.slice("__d", 2, F.greatest(F.lit(1), F.size("__d"))), lambda d: d["direction"] != "unknown")
+    best = F.get(other, F.lit(0))["r"]
+    return x.select(*keys, (-top["r"] * (1 + F.coalesce(best, F.lit(0.0)))).alias("reliability"), top["direction"].alias("direction"), best.isNotNull().alias("contradictory"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from proofloom.plans import audit, pipelines, problems, readmodels
+from proofloom.plans import audit, pipelines, problems, readmodels, textual
 
-_MODULES = [problems, audit, readmodels, pipelines]
+_MODULES = [problems, audit, readmodels, pipelines, textual]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
