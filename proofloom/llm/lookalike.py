@@ -9,7 +9,6 @@ an equivalence relation, so all members of a class take the same spelling.
 
 from __future__ import annotations
 
-import sys
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -36,6 +35,8 @@ _GONE = dict.fromkeys(map(ord, IGNORABLE))
 ROUTE = 6
 #: Characters from which runs of suspects are merged, and the gap that is.
 MERGE_FROM, MERGE_GAP = 0x0600, 0x1000
+#: Planes from here on hold nothing that the table changes, but for the tags at 0xE0000.
+PLANES = 0x30000
 #: Tokens per trie.
 BUCKET = 20_000
 
@@ -127,7 +128,8 @@ def suspects() -> str:
     Runs above MERGE_FROM that lie close together are merged, so the class has few ranges; a character that is
     caught without need only costs its token a look-up.
     """
-    odd = [i for i in range(128, sys.maxunicode + 1) if not 0xD800 <= i < 0xE000 and table_spelling(chr(i)) != chr(i)]
+    assigned = [*range(128, 0xD800), *range(0xE000, PLANES), *range(0xE0000, 0xE0200)]
+    odd = [i for i in assigned if table_spelling(chr(i)) != chr(i)]
     runs: list[list[int]] = []
     for i in odd:
         if runs and i - runs[-1][1] <= (MERGE_GAP if i >= MERGE_FROM else 1):
