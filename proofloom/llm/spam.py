@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofloom.operators.skew import spread_out
+
 #: A page is junk if more than this share of its characters is.
 SHARE = 2 / 3
 #: Pages with fewer words are never cases.
@@ -157,8 +159,8 @@ def junk_share(text: str | None) -> float:
 def junk_pages(docs: DataFrame) -> DataFrame:
     """(doc_id, words, junk) of every row of ``docs`` (doc_id, text): its number of words and its share of junk.
 
-    Null, empty and blank texts have 0 words and no junk. The texts are read whole, in Arrow batches, without a
-    shuffle; time is linear in a text's length. Repeated rows stay, other columns are ignored.
+    Null, empty and blank texts have 0 words and no junk. The texts are read whole, in Arrow batches; a scan with
+    fewer partitions than cores is dealt out first. Time is linear in a text's length. Repeated rows stay, other columns are ignored.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,4 +172,4 @@ def junk_pages(docs: DataFrame) -> DataFrame:
                 junk.append(junk_share(t) if n else 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(words, pa.int32()), pa.array(junk, pa.float64())], names=["doc_id", "words", "junk"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(rows, "doc_id bigint, words int, junk double")
+    return spread_out(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(rows, "doc_id bigint, words int, junk double")

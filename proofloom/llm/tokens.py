@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from proofloom.operators.skew import spread_out
+
 #: Where the rank files of public tokenizers are.
 TOKENIZERS = "/opt/tokenizers"
 # Fixed value: the pattern that parts a text into words before merging.
@@ -160,7 +162,8 @@ def encode_corpus(docs: DataFrame, rank_file: str = f"{TOKENIZERS}/byte_bpe_50k.
     """(doc_id, ids) of every row of ``docs`` (doc_id, text), without special tokens.
 
     Null and empty texts have the empty list; a special token's name in a text is ordinary text; texts are encoded
-    whole. The rank file (under a megabyte) is read by the driver and broadcast; nothing is shuffled. Repeated rows
+    whole. The rank file (under a megabyte) is read by the driver and broadcast; a scan with fewer partitions than
+    cores is dealt out first. Repeated rows
     and null ids stay, other columns are ignored.
     """
     spark = docs.sparkSession
@@ -182,4 +185,4 @@ def encode_corpus(docs: DataFrame, rank_file: str = f"{TOKENIZERS}/byte_bpe_50k.
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], names=["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(rows, "doc_id bigint, ids array<int>")
+    return spread_out(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(rows, "doc_id bigint, ids array<int>")
