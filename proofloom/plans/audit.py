@@ -129,7 +129,7 @@ def j5_applicable_labels(s, d):
     return V.truth_label(s, d).alias("l").join(steps.alias("s"), on, "left_semi")
 
 
-@query(f", {_SCORES} SELECT run_id, round(avg(our_score) FILTER (has_supports), 6) AS with_supports, round(avg(our_score) FILTER (NOT has_supports), 6) AS without_supports, round(avg(our_score) FILTER (has_supports) - avg(our_score) FILTER (NOT has_supports), 6) AS delta, NULL AS unavailable_reason FROM scores JOIN statement_v USING (stmt_hash) WHERE our_score IS NOT NULL GROUP BY 1")
+@query(f", {_SCORES} SELECT run_id, round(avg(our_score) FILTER (has_supports), 6) AS with_supports, round(avg(our_score) FILTER (NOT has_supports), 6) AS without_supports, round(avg(our_score) FILTER (has_supports) - avg(our_score) FILTER (NOT has_supports), 6) AS delta, CAST(NULL AS VARCHAR) AS unavailable_reason FROM scores JOIN statement_v USING (stmt_hash) WHERE our_score IS NOT NULL GROUP BY 1")
 def a11_supports_delta(s, d):
     return rounded(validity.supports_delta(_scores(s, d), V.statement(s, d)))
 
@@ -159,7 +159,7 @@ def a13_confidence_calibration(s, d):
     return g.filter("n >= 2").withColumn("stmt_type", F.coalesce("stmt_type", F.lit("all")))
 
 
-_LEDGER = """SELECT NULL AS run_id, 'corpus' AS family, 'statements' AS kind, count(*) AS value FROM statement_v UNION ALL SELECT NULL, 'corpus', 'evidences', count(*) FROM evidence_v
+_LEDGER = """SELECT CAST(NULL AS VARCHAR) AS run_id, 'corpus' AS family, 'statements' AS kind, count(*) AS value FROM statement_v UNION ALL SELECT NULL, 'corpus', 'evidences', count(*) FROM evidence_v
   UNION ALL SELECT NULL, 'corpus', 'memberships', count(*) FROM membership_v UNION ALL SELECT NULL, 'labels', field, count(*) FROM truth_label_v GROUP BY field
   UNION ALL SELECT run_id, 'run', 'steps', count(*) FROM step_v GROUP BY run_id UNION ALL SELECT run_id, 'run', 'evidences', count(DISTINCT evidence_hash) FROM step_v GROUP BY run_id
   UNION ALL SELECT run_id, 'run', 'pairs', count(DISTINCT (stmt_hash, evidence_hash)) FROM step_v GROUP BY run_id"""
@@ -233,10 +233,10 @@ def a22_source_lists(s, d):
     return V.membership(s, d).join(V.evidence(s, d), "evidence_hash").groupBy("stmt_hash").agg(F.array_join(F.array_sort(F.collect_set("source_api")), ", ").alias("sources"))
 
 
-@query("SELECT stmt_hash, list(evidence_hash ORDER BY evidence_hash) FILTER (is_curated) AS curated FROM membership_v JOIN evidence_v USING (evidence_hash) GROUP BY 1 HAVING count(*) FILTER (is_curated) > 0")
+@query("SELECT stmt_hash, array_to_string(list(evidence_hash ORDER BY evidence_hash) FILTER (is_curated), ' ') AS curated FROM membership_v JOIN evidence_v USING (evidence_hash) GROUP BY 1 HAVING count(*) FILTER (is_curated) > 0")
 def a24_filtered_lists(s, d):
     x = V.membership(s, d).join(V.evidence(s, d), "evidence_hash").groupBy("stmt_hash").agg(F.array_sort(F.collect_list(F.when(F.col("is_curated"), F.col("evidence_hash")))).alias("curated"))
-    return x.filter(F.size("curated") > 0)
+    return x.filter(F.size("curated") > 0).withColumn("curated", F.array_join("curated", " "))
 
 
 _LATTICE = "CASE WHEN count(*) FILTER (verdict = 'incorrect') > 0 THEN 'incorrect' WHEN count(*) FILTER (verdict = 'abstain') > 0 THEN 'abstain' WHEN count(*) FILTER (verdict = 'correct') = count(*) THEN 'correct' WHEN count(*) FILTER (verdict = 'correct') > 0 THEN 'mixed' ELSE 'unknown' END AS stmt_verdict"

@@ -24,10 +24,10 @@ def query(sql: str | None = None, views: bool = False):
     return put
 
 
-@query(r"SELECT record_id, list_distinct(list_transform(regexp_extract_all(evidence_text, '\b((?:Ser|Thr|Tyr|Lys)-?\d{1,4})\b', 1), lambda s: replace(s, '-', ''))) AS sites FROM fewshot_pool WHERE regexp_matches(evidence_text, '\b((?:Ser|Thr|Tyr|Lys)-?\d{1,4})\b')")
+@query(r"SELECT record_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(evidence_text, '\b((?:Ser|Thr|Tyr|Lys)-?\d{1,4})\b', 1), lambda s: replace(s, '-', '')))), ' ') AS sites FROM fewshot_pool WHERE regexp_matches(evidence_text, '\b((?:Ser|Thr|Tyr|Lys)-?\d{1,4})\b')")
 def c12_sites(s, d):
     x = table(s, d, "fewshot_pool").select("record_id", textrules.sites(F.col("evidence_text")).alias("sites"))
-    return x.filter(F.size("sites") > 0)
+    return x.filter(F.size("sites") > 0).withColumn("sites", F.array_join(F.array_sort("sites"), " "))
 
 
 @query(rf"SELECT source_api, count(*) AS n, count(*) FILTER (regexp_matches(lower(text), '\b(?:{'|'.join(textrules.HEDGES)})\b')) AS hedged FROM evidence WHERE text IS NOT NULL GROUP BY 1")
