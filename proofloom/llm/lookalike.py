@@ -164,8 +164,9 @@ def spellings(texts: DataFrame) -> DataFrame:
     route = [F.substring("table", 1, ROUTE).alias("head"), F.length("table").alias("size")]
     mine = odd.select("*", *route)
     plain = plain.select("*", *route).join(mine.select("head", "size").distinct(), ["head", "size"], "left_semi")
-    buckets = max(1, odd.count() // BUCKET)
-    both = mine.unionByName(plain).withColumn("bucket", F.pmod(F.xxhash64("head", "size"), F.lit(buckets)))
+    both = cut(mine.unionByName(plain))
+    buckets = max(1, both.count() // BUCKET)
+    both = both.withColumn("bucket", F.pmod(F.xxhash64("head", "size"), F.lit(buckets)))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         trie = Trie()
