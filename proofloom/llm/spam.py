@@ -35,6 +35,7 @@ _LINK = r"(?:https?://|www\.)[^\s\])>|]+"
 _TOKEN = re.compile(rf"({_LINK})|(#\w+)|([$€£¥]\s?\d[\d.,]*)|(\w+)|([^\w\s])")
 _SEGMENT = re.compile(r"(?<=[.!?。])(?=\s|$)|\n|(?<=。)")
 _WORD = re.compile(r"[^\W_]+")
+_RUN, _DIGIT, _MARKED = re.compile(r"\w+"), re.compile(r"\d"), re.compile(r"://|www\.|#|[$€£¥]")
 
 
 class SuffixAutomaton:
@@ -104,19 +105,22 @@ def abstract(token: re.Match) -> str:
     if word:
         if word.isdigit():
             return "<number>"
-        return "<name>" if any(c.isdigit() for c in word) else word.lower()
+        return "<name>" if _DIGIT.search(word) else word.lower()
     return mark
 
 
-def is_clause(tokens: list[re.Match]) -> bool:
-    """Whether a segment reads as sentences: enough distinct (function word, next word) contexts for its words."""
-    words = [m.group(4) for m in tokens if m.group(4)]
-    if any(_KANA.search(w) for w in words):
-        return True
-    if len(words) < CLAUSE_WORDS:
-        return False
-    contexts = {(a.lower(), "<name>" if any(c.isdigit() for c in b) else b.lower()) for a, b in zip(words, words[1:]) if a.lower() in _FUNCTION and not a.isupper()}
-    return len(contexts) >= max(1, CLAUSE_RATE * len(words))
+def is_clause(words: list[str]) -> bool:
+    """Whether the words of a segment read as sentences: enough distinct (function word, next word) contexts for them."""
+    need = max(1, CLAUSE_RATE * len(words))
+    contexts = set()
+    if len(words) >= CLAUSE_WORDS:
+        low = [w.lower() for w in words]
+        for i, a in enumerate(low[:-1]):
+            if a in _FUNCTION and not words[i].isupper():
+                contexts.add((a, "<name>" if _DIGIT.search(low[i + 1]) else low[i + 1]))
+                if len(contexts) >= need:
+                    return True
+    return any(map(_KANA.search, words))
 
 
 def junk_share(text: str | None) -> float:
@@ -127,20 +131,25 @@ def junk_share(text: str | None) -> float:
     structure and links could reach SHARE at all.
     """
     text = text or ""
-    segments, at = [], 0
+    pieces, at = [], 0
     for m in [*_SEGMENT.finditer(text), None]:
-        end = m.end() if m else len(text)
-        found = [x for x in _TOKEN.finditer(text, at, end)]
-        if found:
-            segments.append(found)
-        at = end
+        pieces.append(text[at : m.end() if m else len(text)])
+        at = m.end() if m else 0
+    total = most = 0
+    loose = []
+    for piece in pieces:
+        n = len("".join(piece.split()))
+        found = list(_TOKEN.finditer(piece)) if _MARKED.search(piece) else None
+        free = not is_clause(_RUN.findall(piece) if found is None else [x.group(4) for x in found if x.group(4)])
+        total += n
+        most += n if free else sum(x.end() - x.start() for x in found or [] if x.group(1) or x.group(2) or x.group(3))
+        loose.append(free)
+    if not total or most <= SHARE * total:
+        return 0.0
+    segments = [list(_TOKEN.finditer(piece)) for piece in pieces]
     size = [[x.end() - x.start() for x in s] for s in segments]
     total = sum(map(sum, size))
     marked = [[bool(x.group(1) or x.group(2) or x.group(3)) for x in s] for s in segments]
-    loose = [not is_clause(s) for s in segments]
-    most = sum(sum(n) if free else sum(k for k, m in zip(n, ms) if m) for n, ms, free in zip(size, marked, loose))
-    if not total or most <= SHARE * total:
-        return 0.0
     symbols = [abstract(x) for s in segments for x in s]
     ids = {s: i for i, s in enumerate(dict.fromkeys(symbols))}
     tokens = [ids[s] for s in symbols]
