@@ -105,3 +105,33 @@ def denominators(statement_rows: DataFrame, members: DataFrame, json_col: str =
     want = statement_rows.groupBy("stmt_hash").agg(F.max(n).alias("expected"))
     have = members.groupBy("stmt_hash").agg(F.countDistinct("evidence_hash").alias("stored"))
     return want.join(have, "stmt_hash", "left").na.fill(0, ["stored"]).filter("expected <> stored")
+
+
+def checked_labels(new: DataFrame, targets: DataFrame, key: list[str]) -> tuple[DataFrame, dict[str, int]]:
+    """The usable rows of ``new`` (target_id, field, value_text, ...), the last of each ``key``, and what was wrong.
+
+    A row without target or field is dropped and counted; one whose target is not in ``targets`` (target_id) is kept
+    and counted, since the target may come later. Of rows with the same key the largest value stays.
+    """
+    flags = new.agg(F.count("*").alias("rows"), F.count_if(F.coalesce("target_id", F.lit("")) == "").alias("no_target"), F.count_if(F.coalesce("field", F.lit("")) == "").alias("no_field")).first()
+    ok = new.filter((F.coalesce("target_id", F.lit("")) != "") & (F.coalesce("field", F.lit("")) != ""))
+    rest = [c for c in new.columns if c not in key]
+    one = ok.groupBy(*key).agg(F.max(F.struct("value_text", *[c for c in rest if c != "value_text"])).alias("r")).select(*key, *[F.col(f"r.{c}").alias(c) for c in rest])
+    unknown = one.select("target_id").distinct().join(targets.select("target_id"), "target_id", "left_anti").count()
+    return one, {"rows": flags["rows"], "no_target": flags["no_target"], "no_field": flags["no_field"], "kept": one.count(), "unknown_targets": unknown}
+
+
+def backfilled(df: DataFrame, json_col: str, fields: dict[str, str]) -> DataFrame:
+    """``df`` with every column of ``fields`` that is null, empty or missing taken from its JSON path."""
+    for c, path in fields.items():
+        old = F.nullif(F.col(c), F.lit("")) if c in df.columns else F.lit(None).cast("string")
+        df = df.withColumn(c, F.coalesce(old, F.get_json_object(json_col, path)))
+    return df
+
+
+def dropped_when_covered(df: DataFrame, column: str, key: list[str], members: DataFrame) -> DataFrame:
+    """``df`` without ``column`` if ``members`` holds every (key, column) pair of it; otherwise a ValueError."""
+    missing = df.filter(F.col(column).isNotNull()).join(members, [*key, column], "left_anti").limit(1).count()
+    if missing:
+        raise ValueError(f"{column} holds pairs that the memberships lack")
+    return df.drop(column)

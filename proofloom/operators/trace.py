@@ -61,3 +61,10 @@ def probe_coverage(steps: DataFrame) -> DataFrame:
     grid = total.select("run_id", "total", F.explode(F.array(*map(F.lit, PROBES))).alias("probe"))
     y = grid.join(x, ["run_id", "probe"], "left").na.fill(0, ["by_rule", "by_model"])
     return y.withColumn("not_run", F.col("total") - F.col("by_rule") - F.col("by_model")).drop("total")
+
+
+def clamped(steps: DataFrame, requested: str | None) -> DataFrame:
+    """One row ``at``: the time requested, or the newest step's where none or a later one is asked for."""
+    newest = F.max("started_at")
+    asked = F.lit(requested).cast("timestamp_ntz")
+    return steps.agg(F.coalesce(F.least(asked, newest.cast("timestamp_ntz")), newest.cast("timestamp_ntz")).alias("at"))
