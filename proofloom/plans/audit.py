@@ -52,9 +52,9 @@ def a1_mean_score(s, d):
     return rounded(_scores(s, d))
 
 
-@query("SELECT stmt_hash, round(1 - product(greatest(0, least(1, 1 - score))) FILTER (score IS NOT NULL), 6) AS noisy_or, round(avg(score), 6) AS mean FROM step_v GROUP BY 1")
+@query("SELECT stmt_hash, round(1 - product(greatest(0, least(1, 1 - score))) FILTER (score IS NOT NULL), 9) AS noisy_or, round(avg(score), 6) AS mean FROM step_v GROUP BY 1")
 def a3_noisy_or(s, d):
-    return V.step(s, d).groupBy("stmt_hash").agg(r6(belief.noisy_or(F.col("score"))).alias("noisy_or"), r6(F.avg("score")).alias("mean"))
+    return V.step(s, d).groupBy("stmt_hash").agg(F.round(belief.noisy_or(F.col("score")), 9).alias("noisy_or"), r6(F.avg("score")).alias("mean"))
 
 
 @query("SELECT run_id, verdict, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY run_id), 6) AS share FROM step_v GROUP BY 1, 2")
