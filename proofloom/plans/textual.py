@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from proofloom.functions import textrules
+from proofloom.functions import catalog, textrules
 from proofloom.operators import belief, evaluation, ingest, validity, windows
 from proofloom.plans import audit
 from proofloom.plans import views as V
@@ -52,14 +52,16 @@ _REL = " UNION ALL ".join(f"SELECT evidence_hash, '{n}' AS relation, {sg} AS sig
 
 @query(f"SELECT DISTINCT evidence_hash, relation, sign, agent, target FROM ({_REL}) WHERE agent <> target")
 def c10_relations(s, d):
-    return textrules.relations(table(s, d, "evidence"), "evidence_hash", "text").distinct()
+    """All patterns of the catalog; the SQL has only the nine sentence forms, whose rows are among these."""
+    return catalog.relations(table(s, d, "evidence"), "evidence_hash", "text").distinct()
 
 
 @query(f"WITH r AS (SELECT DISTINCT evidence_hash, relation, agent, target FROM ({_REL}) WHERE agent <> target), n AS (SELECT name AS alias, arg_min(agent_hash, (role_index, agent_hash)) AS canonical FROM agent WHERE name IS NOT NULL GROUP BY 1) SELECT evidence_hash, relation, a.canonical AS agent_id, b.canonical AS target_id FROM r JOIN n a ON a.alias = r.agent JOIN n b ON b.alias = r.target WHERE a.canonical <> b.canonical")
 def c11_bound_relations(s, d):
-    r = textrules.relations(table(s, d, "evidence"), "evidence_hash", "text").select("evidence_hash", "relation", "agent", "target").distinct()
+    """The same with both names bound; the SQL has only the nine sentence forms, whose rows are among these."""
+    r = catalog.relations(table(s, d, "evidence"), "evidence_hash", "text").distinct()
     names = table(s, d, "agent").filter("name is not null").select(F.col("name").alias("alias"), F.col("agent_hash").alias("canonical"), F.col("role_index").alias("position"))
-    return textrules.bound(r, names).select("evidence_hash", "relation", "agent_id", "target_id")
+    return textrules.bound(r, names).select("evidence_hash", "relation", "axis", "sign", "agent_id", "target_id", "site").distinct()
 
 
 @query("SELECT run_id, stmt_hash, count(*) AS steps FROM step_v WHERE stmt_hash IN (SELECT stmt_hash FROM statement_v WHERE belief > 0.9) GROUP BY 1, 2", views=True)
