@@ -15,6 +15,8 @@ DOCUMENT = (
     + ", ".join(f"{r} struct<{_AGENT.replace(' string', ': string')}>" for r in ("enz", "sub", "subj", "obj", "agent"))
     + f", members array<struct<{_AGENT.replace(' string', ': string')}>>, evidence array<struct<{_EVIDENCE}>>"
 )
+#: A single object where ``DOCUMENT`` has an array.
+_SINGLE = f"evidence struct<{_EVIDENCE}>, members struct<{_AGENT.replace(' string', ': string')}>"
 
 
 def hex16(c: Column) -> Column:
@@ -27,10 +29,32 @@ def content_key(*cols: Column) -> Column:
     return F.substring(F.sha2(F.concat_ws("|", *[F.coalesce(c.cast("string"), F.lit("None")) for c in cols]), 256), 1, 16)
 
 
+def unwrapped(json_col: str) -> Column:
+    """The JSON object of a text, all JSON strings around it taken off; null if it is not a valid object.
+
+    A string around a string escapes its quotes, so a text has no more of them than its length has binary digits.
+    """
+    def inner(text: Column) -> Column:
+        v = F.try_parse_json(text)
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string")).otherwise(text)
+
+    text = F.col(json_col)
+    most = F.sequence(F.lit(0), F.ceil(F.log2(F.length(text) + 1)).cast("int"))
+    text = F.when(text.rlike(r'^\s*"'), F.aggregate(most, text, lambda t, _: inner(t))).otherwise(text)
+    return F.when(F.schema_of_variant(F.try_parse_json(text)).like("OBJECT%"), text)
+
+
 def parsed(df: DataFrame, json_col: str = "raw_json") -> DataFrame:
-    """Rows whose document is a valid JSON object, with the document parsed once as ``doc``; others are left out."""
-    valid = F.expr(f"schema_of_variant(try_parse_json({json_col})) like 'OBJECT%'")
-    return df.filter(F.coalesce(valid, F.lit(False))).withColumn("doc", F.from_json(json_col, DOCUMENT))
+    """Rows whose document is a valid JSON object, with the document parsed once as ``doc``; others are left out.
+
+    A document inside a JSON string is that document, which replaces the string in ``json_col``; a single evidence or
+    member where others have an array is an array of one.
+    """
+    x = df.withColumn(json_col, unwrapped(json_col)).filter(F.col(json_col).isNotNull()).withColumn("doc", F.from_json(json_col, DOCUMENT))
+    rest = F.from_json(F.when(F.col("doc.evidence").isNull() | F.col("doc.members").isNull(), F.col(json_col)), _SINGLE)
+    one = lambda k: F.coalesce(F.col(f"doc.{k}"), F.when(F.col(f"__one.{k}").isNotNull(), F.array(f"__one.{k}")))
+    x = x.withColumn("__one", rest)
+    return x.withColumn("doc", F.col("doc").withField("evidence", one("evidence")).withField("members", one("members"))).drop("__one")
 
 
 def statements(docs: DataFrame) -> DataFrame:
@@ -100,8 +124,9 @@ def repeated(members: DataFrame) -> DataFrame:
 
 
 def denominators(statement_rows: DataFrame, members: DataFrame, json_col: str = "raw_json") -> DataFrame:
-    """(stmt_hash, expected, stored) where the document's number of evidences differs from the stored memberships."""
-    n = F.coalesce(F.json_array_length(F.get_json_object(json_col, "$.evidence")), F.lit(0))
+    """(stmt_hash, expected, stored) where the document's number of evidences differs from the stored memberships; a single evidence object counts 1."""
+    single = F.from_json(json_col, "evidence struct<source_hash: bigint>")["evidence"].isNotNull()
+    n = F.when(single, 1).otherwise(F.coalesce(F.json_array_length(F.get_json_object(json_col, "$.evidence")), F.lit(0)))
     want = statement_rows.groupBy("stmt_hash").agg(F.max(n).alias("expected"))
     have = members.groupBy("stmt_hash").agg(F.countDistinct("evidence_hash").alias("stored"))
     return want.join(have, "stmt_hash", "left").na.fill(0, ["stored"]).filter("expected <> stored")
