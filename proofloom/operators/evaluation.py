@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from math import comb
 
 from pyspark.sql import Column, DataFrame
@@ -94,3 +95,42 @@ def capped_sample(pool: DataFrame, cls: str, per_class: int, order: Column, excl
     """``per_class`` rows of every class in the order given, without the keys of ``exclude``."""
     x = pool if exclude is None else pool.join(bounded_broadcast(exclude.select(key).distinct()), key, "left_anti")
     return x.withColumn("__r", F.row_number().over(Window.partitionBy(cls).orderBy(order, key))).filter(F.col("__r") <= per_class).drop("__r")
+
+
+#: Least numbers by tag of a stratified sample: a share of its size, or a number of rows.
+TAG_LEAST = {"correct": 0.40, "grounding": 0.10, "no_relation": 0.08, "wrong_relation": 0.06, "entity_boundaries": 0.05, "act_vs_amt": 0.05, "polarity": 0.04, "other": 0.04, "hypothesis": 0.02, "negative_result": 0.02, "mod_site": 5, "agent_conditions": 5}
+
+
+def stratified_sample(pool: DataFrame, target: int, cap_share: float = 0.35, least: dict[str, float] = TAG_LEAST, seed: int = 42, cls: str = "cls", tag: str = "tag", key: str = "id") -> DataFrame:
+    """``target`` rows of ``pool``, no class with more than ``cap_share`` of them, tags with their ``least`` numbers first.
+
+    Tags are filled in the order given, a row of each class in turn; what remains of the target is filled from all
+    other rows in seeded hash order. The cap holds in both passes, and a tag or pool that runs out gives what it has, so
+    there may be fewer than ``target`` rows. A null class or tag is one of its own. ``key`` must be unique. The driver
+    gets the row counts of classes within the tags of ``least``.
+    """
+    cap = int(target * cap_share)
+    x = pool.withColumn("__c", F.coalesce(cls, F.lit("?"))).withColumn("__t", F.coalesce(tag, F.lit("?"))).withColumn("__h", F.xxhash64(F.lit(seed), key))
+    cells = x.filter(F.col("__t").isin(*least)).groupBy("__t", "__c").agg(F.count("*").alias("n"), F.xxhash64(F.lit(seed), "__t", "__c").alias("h")).collect()
+    by_tag = {t: [r for r in sorted(cells, key=lambda r: (r["h"], r["__c"])) if r["__t"] == t] for t in least}
+    left, used, take, total = {(r["__t"], r["__c"]): r["n"] for r in cells}, Counter(), Counter(), 0
+    for t, share in least.items():
+        wanted, drew = int(target * share) if isinstance(share, float) else share, True
+        got = 0
+        while drew:
+            drew = False
+            for r in by_tag[t]:
+                cell = (t, r["__c"])
+                if got < wanted and total < target and take[cell] < left[cell] and used[r["__c"]] < cap:
+                    take[cell], used[r["__c"]], got, total, drew = take[cell] + 1, used[r["__c"]] + 1, got + 1, total + 1, True
+    spark = pool.sparkSession
+    drawn = F.broadcast(spark.createDataFrame([(t, c, n) for (t, c), n in take.items()], "__t string, __c string, __take int"))
+    room = F.broadcast(spark.createDataFrame(list(used.items()), "__c string, __used int"))
+    order = [F.col("__h"), F.col(key)]
+    most = cap + max(take.values(), default=0)  # of a cell no more rows than these can be used
+    y = x.withColumn("__r", F.row_number().over(Window.partitionBy("__t", "__c").orderBy(*order))).filter(F.col("__r") <= most)
+    y = y.join(drawn, ["__t", "__c"], "left").join(room, "__c", "left").na.fill(0, ["__take", "__used"])
+    first = y.filter("__r <= __take")
+    rest = y.filter("__r > __take").withColumn("__k", F.row_number().over(Window.partitionBy("__c").orderBy(*order)))
+    rest = rest.filter(F.col("__k") <= F.lit(cap) - F.col("__used")).orderBy(*order).limit(target - total)
+    return first.select(*pool.columns).unionByName(rest.select(*pool.columns))

@@ -10,6 +10,8 @@ from proofloom.plans import audit
 from proofloom.plans import views as V
 from proofloom.sources.tables import table
 
+#: Rows of the stratified sample.
+SAMPLE_SIZE = 500
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -138,8 +140,10 @@ def t15_uncertain_statements(s, d):
 
 @query("SELECT id, cls FROM (SELECT record_id AS id, lower(trim(stmt_type)) AS cls, pmid FROM fewshot_pool WHERE stmt_type IS NOT NULL) QUALIFY row_number() OVER (PARTITION BY cls ORDER BY id) <= 35")
 def e11_type_capped_sample(s, d):
-    p = table(s, d, "fewshot_pool").filter("stmt_type is not null").select(F.col("record_id").alias("id"), F.lower(F.trim("stmt_type")).alias("cls"))
-    return evaluation.capped_sample(p, "cls", 35, F.col("id"))
+    """500 records, no type over 35 %, tags with their least numbers; the SQL has the first 35 records of every type."""
+    tag = F.regexp_replace(F.lower(F.trim("tag")), r"[\s-]+", "_")
+    p = table(s, d, "fewshot_pool").select(F.col("record_id").alias("id"), F.lower(F.trim("stmt_type")).alias("cls"), tag.alias("tag"))
+    return evaluation.stratified_sample(p, SAMPLE_SIZE).select("id", "cls")
 
 
 @query("SELECT s.run_id, sum((verdict = gold)::INT) AS agree, count(*) AS n FROM (SELECT run_id, evidence_hash, stmt_hash, verdict FROM step_v) s JOIN (SELECT target_id AS evidence_hash, min(value_text) AS gold FROM truth_label_v WHERE relation_target_id IS NULL GROUP BY 1) g USING (evidence_hash) GROUP BY 1", views=True)
