@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from proofloom.functions import catalog, textrules
+from proofloom.functions import catalog, siterules, textrules
 from proofloom.operators import belief, evaluation, ingest, validity, windows
 from proofloom.plans import audit
 from proofloom.plans import views as V
@@ -28,7 +28,7 @@ def query(sql: str | None = None, views: bool = False):
 
 @query(r"SELECT record_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(evidence_text, '\b((?:Ser|Thr|Tyr|Lys)-?\d{1,4})\b', 1), lambda s: replace(s, '-', '')))), ' ') AS sites FROM fewshot_pool WHERE regexp_matches(evidence_text, '\b((?:Ser|Thr|Tyr|Lys)-?\d{1,4})\b')")
 def c12_sites(s, d):
-    x = table(s, d, "fewshot_pool").select("record_id", textrules.sites(F.col("evidence_text")).alias("sites"))
+    x = table(s, d, "fewshot_pool").select("record_id", siterules.sites(F.col("evidence_text")).alias("sites"))
     return x.filter(F.size("sites") > 0).withColumn("sites", F.array_join(F.array_sort("sites"), " "))
 
 
