@@ -35,11 +35,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and return the written table."""
+def cut(df: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders of the columns ``by`` if given, and return the written table."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/proofloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df.write.partitionBy(*by) if by else df.write).parquet(path)
     _remember(spark, path)
     again = spark.read.schema(df.schema).parquet(path)
     again._proofloom_path = path

@@ -119,6 +119,32 @@ def test_statement_documents(spark):
     assert _flat(spark, "statement", ['{"a":' * 100_000]) == []
 
 
+def test_documents_of_any_depth_give_their_rows(spark):
+    deep = '{"q":' * 50_000 + '{"name": "D"}' + "}" * 50_000
+    doc = f'{{"type": "T", "subj": {{"name": "S", "x": {deep}}}, "obj": {{"name": "O"}}}}'
+    bound = '{"agent": {"name": "B", "bound_conditions": ' * 400 + "null" + "}}" * 400
+    got = _flat(spark, "statement", [doc, json.dumps(doc), f'{{"subj": {{"name": "S", "bound_conditions": {bound}}}}}', "[" * 50_000 + "]" * 50_000, doc[:-1]])
+    assert [r[2] for r in got if r[0] == "k0"] == [r[2] for r in got if r[0] == "k1"] == ["O", "S", "D"]
+    assert len([r for r in got if r[0] == "k2"]) == 401 and {r[0] for r in got} == {"k0", "k1", "k2"}
+
+
+def test_deep_parser_agrees_with_the_library():
+    rng = random.Random(3)
+    base = json.dumps(STATEMENT)
+    texts = [base, " [1, 2.5e3, -0, true, null, \"a\\u00e9\"] ", "{}", "[]", "1", '"x"', "01", "1.", "[1,]", "{,}", '{"a"}', "nul", "NaN", '{"a":1,"a":2}', "[1 2]", "", '"\x01"', "1e999", "-", "]"]
+    for _ in range(400):
+        i, j = rng.randrange(len(base)), rng.randrange(len(base))
+        texts.append(base[:i] + rng.choice('{}[],:"0x ') + base[j:])
+    for t in texts:
+        try:
+            want = json.loads(t, parse_constant=nested._no_constant, object_pairs_hook=dict)
+        except ValueError:
+            with pytest.raises(ValueError):
+                nested.parse_deep(t, dict)
+        else:
+            assert nested.parse_deep(t, dict) == want
+
+
 def test_evidence_and_reference_documents(spark):
     e = {"text_refs": {"PMID": 12, "DOI": None, "PMCID": ""}, "annotations": {"agents": {"raw_text": ["a", None, "b"]}}}
     assert _flat(spark, "evidence", [json.dumps(e), '{"annotations": {"agents": {"raw_text": "q"}}}', '{"text_refs": [], "annotations": null}']) == [
@@ -131,18 +157,41 @@ def test_evidence_and_reference_documents(spark):
     assert _flat(spark, "db_refs", [json.dumps(r), "{}", '{"A"']) == [("k0", "HGNC.0", "4", "db_id"), ("k0", "LC.0", "L1", "db_id"), ("k0", "LC.1", "L2", "db_id"), ("k0", "ONE.0", "L3", "db_id"), ("k0", "UP.0", "P1", "db_id"), ("k0", "UP.2", "P2", "db_id")]
 
 
-def test_variant_tables_keep_parent_links(spark):
+def test_typed_tables_keep_parent_links(spark):
     df = spark.createDataFrame([("k", json.dumps(STATEMENT))], "key string, j string")
-    t = nested.variant(nested.flatten(df, "t", "key", "j", "statement"), "agent")
-    assert t.columns == ["source_table", "parent_key", "child_path", "parent_path", "position", "agent"]
+    nodes = nested.flatten(df, "t", "key", "j", "statement")
+    t = nested.typed(nodes, "agent")
+    assert t.columns == ["source_table", "parent_key", "child_path", "parent_path", "position", "role", "name"]
     assert {r["parent_path"] for r in t.collect()} == {"", "members.1", "members.1.bound_conditions.0.agent"}
+    both = nested.common({v: nested.typed(nodes, v) for v in nested.TYPED})
+    assert rows(both.select("child_path", "child_value", "variant")) == rows(nodes.select("child_path", "child_value", "variant"))
     assert nested.flatten(df.limit(0), "t", "key", "j", "statement").count() == 0
+    ids = nested.typed(nested.flatten(spark.createDataFrame([("k", '{"LC": [["L1", 0.9], "L2"]}')], "key string, j string"), "t", "key", "j", "db_refs"), "db_id")
+    assert rows(ids.select("namespace", "db_id", "score").na.fill(-1)) == [("LC", "L1", 0.9), ("LC", "L2", -1.0)]
 
 
 def test_automaton_states():
+    def state(x):
+        return nested.Automaton().document(json.dumps(x)).state
+
+    assert state(STATEMENT) == "statement"
+    assert state({"agent": {"name": "x"}, "is_bound": True}) == "binding"
+    assert state({"source_hash": 1}) == "evidence"
+    assert state({"q": [[1], {"w": {"name": "x"}}]}) == "holder"
+    assert state({"id": 3}) == "identified" and state({}) == "empty" and state({"z": []}) == "record"
     a = nested.Automaton()
-    assert a.state(STATEMENT) == "statement"
-    assert a.state({"agent": {"name": "x"}, "is_bound": True}) == "binding"
-    assert a.state({"source_hash": 1}) == "evidence"
-    assert a.state({}) == "empty"
-    assert a.state([None, {"name": "x"}]) == "list:agent|null"
+    assert a.state(a.document('[null, {"name": "x"}, ["b", 0.5], []]')) == {"null", "agent", "scored", "list"}
+
+
+@pytest.mark.parametrize(("name", "source", "doc", "kept"), [
+    ("agent", "statement", STATEMENT, {"evidence"}),
+    ("evidence", "statement", STATEMENT, {"agent"}),
+    ("record", "evidence", {"text_refs": {"PMID": 1}, "annotations": {"agents": {"raw_text": ["a"]}}}, set()),
+])
+def test_the_states_decide_what_comes_out(monkeypatch, name, source, doc, kept):
+    auto = nested.Automaton()
+    before = {r[2] for r in nested.routed(auto.document(json.dumps(doc)), source, auto)}
+    monkeypatch.setattr(nested, "RULES", [(n, (lambda s: False) if n == name else rule) for n, rule in nested.RULES[:-1]] + [("unknown", lambda s: True)])
+    auto = nested.Automaton()
+    after = {r[2] for r in nested.routed(auto.document(json.dumps(doc)), source, auto)}
+    assert before > after and after == kept
