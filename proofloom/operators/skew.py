@@ -51,6 +51,27 @@ def join_keyed(big: DataFrame, keyed: DataFrame, key: str, rows: str) -> DataFra
     )
 
 
+#: Rows of one side that one key brings into one task of ``product_join``.
+BLOCK = 4_000
+
+
+def product_join(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join whose result holds every pair of a left and a right row of a key, with no key in one task.
+
+    Keys of both sides are counted first; the left rows of a key with more than BLOCK of them are dealt into blocks
+    by a hash, the right rows are repeated once a block, and pairs of (key, block) are joined. A key with few left
+    rows has one block, so nothing is repeated for it. Null keys join nothing. Both sides should be cut tables.
+    """
+    a = left.groupBy(*on).agg(F.count("*").alias("__l"))
+    b = right.select(*on).distinct()
+    size = F.ceil(F.col("__l") / BLOCK).cast("int")
+    hot = bounded_broadcast(a.join(b, on, "left_semi").filter(F.col("__l") > BLOCK).select(*on, size.alias("__k")))
+    blocks = F.coalesce("__k", F.lit(1))
+    x = left.join(hot, on, "left").withColumn("__b", F.pmod(F.xxhash64(*[c for c in left.columns if c not in on]), blocks)).drop("__k")
+    y = right.join(hot, on, "left").withColumn("__b", F.explode(F.sequence(F.lit(0).cast("bigint"), (blocks - 1).cast("bigint")))).drop("__k")
+    return x.join(y, [*on, "__b"]).drop("__b")
+
+
 def ranked(df: DataFrame, group: list[str], order: Column, name: str = "rank", buckets: int = 256) -> DataFrame:
     """Number the rows of each group from 1 in the order of the 64-bit hash ``order``, without one task per group.
 

@@ -38,6 +38,15 @@ def test_bounded_broadcast_checks_the_size(spark):
     assert "broadcast" not in plan(spark.range(9).join(skew.bounded_broadcast(small, 4), "id"))
 
 
+@pytest.mark.parametrize("block", [3, 4_000])
+def test_product_join_gives_every_pair(spark, monkeypatch, block):
+    monkeypatch.setattr(skew, "BLOCK", block)
+    a = spark.createDataFrame([("h", i) for i in range(40)] + [("x", 1), (None, 2), ("y", 3)], "k string, a int")
+    b = spark.createDataFrame([("h", i) for i in range(5)] + [("x", 7), ("x", 7), (None, 2)], "k string, b int")
+    assert rows(skew.product_join(a, b, ["k"])) == sorted([("h", i, j) for i in range(40) for j in range(5)] + [("x", 1, 7)] * 2)
+    assert skew.product_join(a.limit(0), b, ["k"]).count() == 0
+
+
 def test_ranked_numbers_every_group_without_gaps(spark):
     data = [("a", i) for i in range(500)] + [(None, i) for i in range(7)] + [("b", 1), ("b", 1)]
     df = spark.createDataFrame(data, "g string, v int")
