@@ -35,8 +35,10 @@ def p2_report(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
-    """The targets for which the pool has too few records."""
-    return p5_report(spark, folder).filter("short").select("category_field", "category").distinct()
+    """The targets whose queue of priorities ends before what is required."""
+    targets = table(spark, folder, "sample_target")
+    queue = sampling.queues(table(spark, folder, "fewshot_pool"), "source_hash", FIELDS, targets)
+    return sampling.shortages(queue, targets).filter("short").select("category_field", "category").distinct()
 
 
 def p5_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,7 +75,19 @@ _SHORT = f"""SELECT t.category_field, t.category, greatest(CAST(floor(t.target_s
     {" UNION ALL ".join(f"SELECT '{x}' AS f, {_LABEL.format(x)} AS c, source_hash FROM fewshot_pool" for x in FIELDS)}) GROUP BY 1, 2) p
   ON p.f = t.category_field AND p.c = {_LABEL.format("t.category")}"""
 _KEYS = r"""SELECT record_id AS id, unnest([k for k in ['p' || nullif(regexp_replace(pmid, '\D+', '', 'g'), ''), 'm' || CAST(TRY_CAST(regexp_replace(matches_hash, '\s+', '', 'g') AS HUGEINT) AS VARCHAR)] if k is not null]) AS k FROM fewshot_pool"""
+_QUEUES = f"""SELECT *, row_number() OVER (PARTITION BY category_field, c ORDER BY substr(md5(CAST(source_hash AS VARCHAR) || '|7'), 1, 15)) AS rank FROM (
+  SELECT DISTINCT t.category_field, t.category, p.c, t.target_share, t.min_rows, t.sample_size, p.source_hash FROM (
+    {" UNION ALL ".join(f"SELECT '{x}' AS f, {_LABEL.format(x)} AS c, source_hash FROM fewshot_pool WHERE source_hash IS NOT NULL" for x in FIELDS)}) p
+  JOIN sample_target t ON p.f = t.category_field AND p.c = {_LABEL.format("t.category")})"""
+_DRAWN = f"""SELECT * FROM (SELECT *, (rank - 0.5) / target_share AS priority, rank <= min_rows AS floor,
+    row_number() OVER (PARTITION BY category_field ORDER BY (rank <= min_rows) DESC, (rank - 0.5) / target_share, c, source_hash) AS seat
+  FROM ({_QUEUES}) WHERE rank <= sample_size) WHERE seat <= sample_size"""
 ORACLE = {
+    "p5_sample": f"SELECT category_field, category, source_hash, priority, floor FROM ({_DRAWN})",
+    "p5_report": f"""SELECT s.category_field, s.category, t.target_share, CAST(floor(t.target_share * t.sample_size + 0.5 + 1e-9) AS BIGINT) AS quota,
+      s.required, s.available, coalesce(d.n, 0) AS drawn, s.available < s.required AS short
+      FROM ({_SHORT}) s JOIN sample_target t USING (category_field, category)
+      LEFT JOIN (SELECT category_field, category, count(*) AS n FROM ({_DRAWN}) GROUP BY ALL) d USING (category_field, category)""",
     "p5_found": f"SELECT category_field, category FROM ({_SHORT}) WHERE available < required",
     "p2_found": f"""WITH RECURSIVE k AS ({_KEYS}), e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM k a JOIN k b USING (k)),
       r(a, b) AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a)

@@ -29,26 +29,51 @@ def _units(pool: DataFrame, unit: str, fields: list[str], targets: DataFrame) ->
     return x.join(bounded_broadcast(targets.select("category_field", "c").distinct()), ["category_field", "c"]).distinct()
 
 
-def proportional_sample(pool: DataFrame, unit: str, fields: list[str], targets: DataFrame, seed: int = 7) -> DataFrame:
-    """(category_field, category, unit, rank, priority, floor) of every drawn unit, per field of ``targets``.
+def chance(unit: Column | str, seed: int) -> Column:
+    """A seeded random number of a unit: 60 bits of the digest of its text, the same in every engine."""
+    u = F.col(unit) if isinstance(unit, str) else unit
+    return F.conv(F.substring(F.md5(F.concat_ws("|", u.cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("bigint")
+
 
-    ``targets`` has category_field, category, target_share, min_rows and sample_size. In each category the units are
-    numbered in random (seeded hash) order; rank r has the priority (r - 0.5) / target_share, and the first min_rows
-    units come before all others. The sample_size units with the smallest priorities of a field are kept, so the
-    seats of an exhausted category go to the others. A unit with records of several categories can be drawn in each,
-    as it counts in each. Only ranks up to min_rows, or whose priority any full sample could reach, go into the final
-    order, so the order never holds more than about sample_size rows of a field; ties are broken by category and
-    unit. Null units and null categories, and categories without a target, are not drawn; a target share of 0 gets
-    its floor only. Repeated records of a unit count once.
+def queues(pool: DataFrame, unit: str, fields: list[str], targets: DataFrame, seed: int = 7) -> DataFrame:
+    """The ranked and floored units of every category: the one written table that is drawn from and reported on.
+
+    In each category the units are numbered in random (seeded hash) order; rank r has the priority
+    (r - 0.5) / target_share, and the first min_rows units are floors. Columns: category_field, category, c, unit,
+    rank, floor, priority and those of the target. Null units and null categories, and categories without a target,
+    are left out; a target share of 0 has infinite priorities behind its floor.
     """
     t = cut(_required(targets))
-    units = ranked(_units(pool, unit, fields, t), ["category_field", "c"], F.xxhash64("unit", F.lit(seed)))
+    order = F.shiftleft(chance("unit", seed), 3)
+    units = ranked(_units(pool, unit, fields, t), ["category_field", "c"], order)
     x = units.join(bounded_broadcast(t), ["category_field", "c"])
-    x = x.withColumn("floor", F.col("rank") <= F.col("min_rows"))
-    x = x.withColumn("priority", F.when(F.col("target_share") > 0, (F.col("rank") - 0.5) / F.col("target_share")).otherwise(F.lit(float("inf"))))
-    x = cut(x.filter("rank <= sample_size and (floor or priority < double('infinity'))"))
-    order = ranked_by_priority(x)
-    return order.filter("seat <= sample_size").select("category_field", "category", "unit", "rank", "priority", "floor")
+    x = x.withColumn("floor", F.coalesce(F.col("rank") <= F.col("min_rows"), F.lit(False)))
+    return cut(x.withColumn("priority", _priority(F.col("rank"))))
+
+
+def _priority(rank: Column) -> Column:
+    return F.when(F.col("target_share") > 0, (rank - 0.5) / F.col("target_share")).otherwise(F.lit(float("inf")))
+
+
+def drawn(queue: DataFrame) -> DataFrame:
+    """``queue`` (see ``queues``) cut to the drawn units: of every field the sample_size first by floor and priority.
+
+    Seats of an exhausted category go to the others, as the next smallest priorities are theirs. Only ranks up to
+    sample_size that are floors or have a finite priority go into the order, so it never holds more than sample_size
+    rows of a category; ties are broken by category and unit.
+    """
+    x = queue.filter("rank <= sample_size and (floor or priority < double('infinity'))")
+    return ranked_by_priority(x).filter("seat <= sample_size")
+
+
+def proportional_sample(pool: DataFrame, unit: str, fields: list[str], targets: DataFrame, seed: int = 7) -> DataFrame:
+    """(category_field, category, unit, rank, priority, floor) of every drawn unit, per field of ``targets``.
+
+    ``targets`` has category_field, category, target_share, min_rows and sample_size. A unit with records of several
+    categories can be drawn in each, as it counts in each. Repeated records of a unit count once; an empty pool gives
+    an empty sample. See ``queues`` and ``drawn``.
+    """
+    return drawn(queues(pool, unit, fields, targets, seed)).select("category_field", "category", "unit", "rank", "priority", "floor")
 
 
 def ranked_by_priority(x: DataFrame, buckets: int = 512) -> DataFrame:
@@ -67,19 +92,25 @@ def ranked_by_priority(x: DataFrame, buckets: int = 512) -> DataFrame:
     return y.withColumn("seat", F.col("i") + F.col("o")).drop("b", "i", "o", "top")
 
 
-def sample_report(pool: DataFrame, unit: str, fields: list[str], targets: DataFrame, seed: int = 7) -> DataFrame:
-    """Every target with its quota, what is required (the greater of quota and min_rows), available, drawn, and short.
+def shortages(queue: DataFrame, targets: DataFrame) -> DataFrame:
+    """Every target with quota, required (the greater of quota and min_rows), available, and whether it is short.
 
-    ``available`` comes from the ranks that the operator gives the units of a category. ``short`` is true where fewer
-    are available than required.
+    A category is short where its queue ends before it reaches the priority of the required unit, or before its floor
+    is full where the share is 0. ``available`` is the queue's last rank.
     """
-    t = cut(_required(targets))
-    drawn = proportional_sample(pool, unit, fields, targets, seed).groupBy("category_field", "category").agg(F.count("*").alias("drawn"))
-    ranks = ranked(_units(pool, unit, fields, t), ["category_field", "c"], F.xxhash64("unit", F.lit(seed)))
-    there = ranks.groupBy("category_field", "c").agg(F.max("rank").alias("available"))
-    x = t.join(there, ["category_field", "c"], "left").join(drawn, ["category_field", "category"], "left")
-    x = x.withColumn("available", F.coalesce("available", F.lit(0))).withColumn("drawn", F.coalesce("drawn", F.lit(0)))
-    return x.select("category_field", "category", "target_share", "quota", "required", "available", "drawn", (F.col("available") < F.col("required")).alias("short"))
+    ends = queue.groupBy("category_field", "c").agg(F.max("priority").alias("last"), F.max("rank").alias("available"), F.count_if("floor").alias("floors"))
+    x = _required(targets).join(bounded_broadcast(cut(ends)), ["category_field", "c"], "left").na.fill(0, ["available", "floors"])
+    by_floor = F.col("floors") < F.col("required")
+    short = F.when(F.col("required") <= 0, False).when(F.col("target_share") > 0, F.coalesce(F.col("last") < _priority(F.col("required")), F.lit(True))).otherwise(by_floor)
+    return x.select("category_field", "category", "target_share", "quota", "required", "available", short.alias("short"))
+
+
+def sample_report(pool: DataFrame, unit: str, fields: list[str], targets: DataFrame, seed: int = 7) -> DataFrame:
+    """``shortages`` with the number of units ``drawn``, both from the same ranked and floored table."""
+    queue = queues(pool, unit, fields, targets, seed)
+    got = drawn(queue).groupBy("category_field", "category").agg(F.count("*").alias("drawn"))
+    x = shortages(queue, targets).join(bounded_broadcast(cut(got)), ["category_field", "category"], "left").na.fill(0, ["drawn"])
+    return x.select("category_field", "category", "target_share", "quota", "required", "available", "drawn", "short")
 
 
 def fitted(available: np.ndarray, margins: list[np.ndarray], rounds: int = 100) -> np.ndarray:
