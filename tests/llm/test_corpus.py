@@ -155,6 +155,48 @@ def test_half_junk_is_no_case():
     assert spam.junk_share(ARTICLE * 2 + "\n" + "buy KIT1 antibody; cheap KIT1 antibody online; " * 9) <= spam.SHARE
 
 
+def test_half_junk_has_its_share():
+    assert 0.2 < spam.junk_share(ARTICLE * 2 + "\n" + "buy KIT1 antibody; cheap KIT1 antibody online; " * 9) < 0.6
+
+
+def _goods(n):
+    made = [f"{a} {b} {c}" for a in "Blue Red Green Soft Large Nordic Slim Royal".split() for b in "Cotton Leather Steel Oak Linen".split() for c in "Shirt Boots Lamp Chair".split()]
+    random.Random(1).shuffle(made)
+    return made[:n]
+
+
+def _orders(goods, times):
+    rng = random.Random(2)
+    return " ".join(" ".join(rng.sample(goods, len(goods))) for _ in range(times))
+
+
+@pytest.mark.parametrize("text", [
+    "ラーメン 東京 安い おすすめ " * 60,
+    "手机 电脑 便宜 优惠 " * 50,
+    "Kaufen Sie jetzt den besten Kit für wenig Geld\n" * 60,
+    "Shop for the best kinase kit with free shipping " * 60,
+    _orders(_goods(80), 6),
+    "\n".join(_goods(80)),
+    ", ".join(_goods(80)).lower(),
+    "купить кит дешево онлайн кит цена " * 30,
+])
+def test_junk_pages_of_kinds_and_languages_not_in_the_tables(text):
+    assert spam.junk_share(text) > spam.SHARE
+
+
+@pytest.mark.parametrize("text", [
+    "研究表明该蛋白在细胞膜上与受体结合，从而激活下游信号通路。我们进一步检测了其在不同组织中的表达水平。结果显示其在肝脏中表达最高。",
+    "Мы показали, что белок связывается с рецептором на мембране клетки и активирует путь. Это не зависит от уровня сигнала в ткани.",
+    "Tutkimuksessa havaittiin proteiinin sitoutuvan solukalvon reseptoriin. Tämä aktivoi solunsisäisen signaalireitin useissa kudoksissa.",
+    "이 단백질은 세포막의 수용체에 결합하여 신호 경로를 활성화한다. 우리는 다양한 조직에서 발현 수준을 측정하였다.",
+    "Abbiamo osservato che la proteina si lega al recettore della membrana. Questo effetto non dipende dal livello del segnale.",
+    "أظهرت الدراسة أن البروتين يرتبط بالمستقبل على سطح الخلية. هذا التأثير لا يعتمد على مستوى الإشارة في النسيج.",
+    "we next asked how the protein reaches the membrane\nin starved cells and whether the drug blocks it when\nlevels stay flat in the controls or rise with time",
+])
+def test_sound_pages_of_languages_not_in_the_tables(text):
+    assert spam.junk_share(text) <= spam.SHARE
+
+
 def test_junk_rows(spark):
     df = spark.createDataFrame([(1, JUNK[0], 9), (2, None, 9), (3, "", 9), (4, " \n", 9), (5, "buy now", 9), (6, ARTICLE, 9), (7, "kit price " * 20_000, 9)], "doc_id long, text string, words int")
     got = {r["doc_id"]: (r["words"], r["junk"] > spam.SHARE) for r in spam.junk_pages(df).collect()}
