@@ -1,10 +1,11 @@
 """Visually identical text: one consistent spelling per look-alike class.
 
 Tokens (runs between blanks) are looked up in tries of the corpus's own well-formed vocabulary by an edit automaton
-in which look-alike letters, compatibility forms and ignorable characters cost nothing and every other edit costs 1;
-the budget is 0, so only visually identical spellings are accepted. A token takes the accepted spelling that equals
-its table spelling, else the most frequent one, else (no vocabulary entry) its table spelling. Equality at cost 0 is
-an equivalence relation, so all members of a class take the same spelling.
+that reads the raw token. Its free moves skip an ignorable character, take a look-alike or presentation form for its
+letters, and take a letter with its loose accents for the composed one; every other edit costs 1. The budget is 0, so
+only visually identical spellings are accepted. A token takes the accepted spelling that equals its table spelling,
+else the most frequent one, else (no vocabulary entry) its table spelling. Equality at cost 0 is an equivalence
+relation, so all members of a class take the same spelling.
 """
 
 from __future__ import annotations
@@ -18,25 +19,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofloom.lineage import cut
+from proofloom.operators.skew import product_join
 
 # Look-alike letters and the letter each one is read as.
 CYRILLIC = "АВЕЅІЈКМНОРСТХаеорсухѕіј"
 CYRILLIC_AS = "ABESIJKMHOPCTXaeopcyxsij"
 GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο"
 GREEK_AS = "ABEZHIKMNOPTYXvo"
-# Characters that take no room: soft hyphen, grapheme joiner, zero-width characters, direction marks.
-IGNORABLE = "­͏᠎​‌‍‎‏⁠⁡⁢⁣⁤﻿"
+MORE = "ԚԜӀһԁԛԝӏϹϳϲͿՕՏօսհո"
+MORE_AS = "QWIhdqwlCjcJOSouhn"
+CHEROKEE = "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏚᏞᏟᏢᏦᏴ"
+CHEROKEE_AS = "DRTAJEWMHGZSLCPKB"
+# Code points that are ignored by default when text is shown (first and last of each range).
+IGNORABLE_RANGES = [
+    (0x00AD, 0x00AD), (0x034F, 0x034F), (0x061C, 0x061C), (0x115F, 0x1160), (0x17B4, 0x17B5), (0x180B, 0x180F),
+    (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0x3164, 0x3164), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF),
+    (0xFFA0, 0xFFA0), (0xFFF0, 0xFFF8), (0x1BCA0, 0x1BCA3), (0x1D173, 0x1D17A), (0xE0000, 0xE0FFF),
+]
 # Hyphens that look like the ordinary one.
 HYPHENS = "‐‑"
 
-_AS = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS)) | dict.fromkeys(HYPHENS, "-")
-_GONE = dict.fromkeys(map(ord, IGNORABLE))
-#: Characters of the route that brings a token and the vocabulary it could match to the same trie.
-ROUTE = 6
+_AS = dict(zip(CYRILLIC + GREEK + MORE + CHEROKEE, CYRILLIC_AS + GREEK_AS + MORE_AS + CHEROKEE_AS)) | dict.fromkeys(HYPHENS, "-")
+_GONE = {i: None for a, b in IGNORABLE_RANGES for i in range(a, b + 1)}
 #: Characters from which runs of suspects are merged, and the gap that is.
 MERGE_FROM, MERGE_GAP = 0x0600, 0x1000
-#: Planes from here on hold nothing that the table changes, but for the tags at 0xE0000.
-PLANES = 0x30000
+#: Planes from here on hold nothing that the table changes, but for the tags and selectors from TAGS to TAGS_END.
+PLANES, TAGS, TAGS_END = 0x30000, 0xE0000, 0xE1000
 #: Tokens per trie.
 BUCKET = 20_000
 
@@ -83,35 +91,51 @@ class Trie:
         at[""] = at.get("", 0) + count
 
     def search(self, token: str, budget: int = 0) -> dict[tuple[str, int], int]:
-        """Accepted (word, count) with their costs, at most ``budget``."""
-        read, found = table_spelling(token), {}
-        todo = [(self.root, 0, 0, "")]
-        seen: dict[tuple[int, int, str], int] = {}
+        """Accepted (word, count) with their costs, at most ``budget``, for a raw token."""
+        units = list(readings(token))
+        found: dict[tuple[str, int], int] = {}
+        todo = [(self.root, 0, 0, 0, "")]
+        seen: dict[tuple[int, int, int], int] = {}
         while todo:
-            node, i, cost, word = todo.pop()
-            if seen.get((id(node), i, word), budget + 1) <= cost:
+            node, i, j, cost, word = todo.pop()
+            if seen.get((id(node), i, j), budget + 1) <= cost:
                 continue
-            seen[id(node), i, word] = cost
-            if "" in node:
-                total = cost + len(read) - i
-                if total <= budget:
-                    k = (word, node[""])
-                    found[k] = min(total, found.get(k, total))
+            seen[id(node), i, j] = cost
+            while i < len(units) and j >= len(units[i]):  # a unit read to its end, or an ignorable one: free
+                i, j = i + 1, 0
+            left = units[i][j] if i < len(units) else None
+            if left is None and "" in node:
+                k = (word, node[""])
+                found[k] = min(cost, found.get(k, cost))
             for c, child in node.items():
                 if not c:
                     continue
-                f = fold(c)
-                if read.startswith(f, i):
-                    todo.append((child, i + len(f), cost, word + c))
+                if left is not None and fold(c) == left:
+                    todo.append((child, i, j + 1, cost, word + c))
                 if cost < budget:
-                    todo.append((child, i, cost + 1, word + c))
-                    if i < len(read):
-                        todo.append((child, i + 1, cost + 1, word + c))
-            if cost < budget and i < len(read):
-                todo.append((node, i + 1, cost + 1, word))
+                    todo.append((child, i, j, cost + 1, word + c))
+                    if left is not None:
+                        todo.append((child, i, j + 1, cost + 1, word + c))
+            if cost < budget and left is not None:
+                todo.append((node, i, j + 1, cost + 1, word))
         return found
 
 
+def readings(token: str) -> Iterator[str]:
+    """What a raw token's units are read as: an ignorable as nothing, a letter with its loose accents as one letter."""
+    at = 0
+    while at < len(token):
+        if ord(token[at]) in _GONE:
+            yield ""
+            at += 1
+            continue
+        end = at + 1
+        while end < len(token) and (ord(token[end]) in _GONE or unicodedata.category(token[end])[0] == "M" or "\u1161" <= token[end] <= "\u11ff"):
+            end += 1
+        yield table_spelling(token[at:end])
+        at = end
+
+
 def best(token: str, found: dict[tuple[str, int], int]) -> str:
     """The canonical spelling: the table spelling if accepted, else the most frequent, else the table spelling."""
     table = table_spelling(token)
@@ -128,7 +152,7 @@ def suspects() -> str:
     Runs above MERGE_FROM that lie close together are merged, so the class has few ranges; a character that is
     caught without need only costs its token a look-up.
     """
-    assigned = [*range(128, 0xD800), *range(0xE000, PLANES), *range(0xE0000, 0xE0200)]
+    assigned = [*range(128, 0xD800), *range(0xE000, PLANES), *range(TAGS, TAGS_END)]
     odd = [i for i in assigned if table_spelling(chr(i)) != chr(i)]
     runs: list[list[int]] = []
     for i in odd:
@@ -148,9 +172,10 @@ def suspect(c: Column | str) -> Column:
 def spellings(texts: DataFrame) -> DataFrame:
     """(token, spelling) for every distinct token of ``texts.text`` that holds a character which may be disguised.
 
-    Tokens and vocabulary are counted with partial aggregation, so frequent ones cost one row per task; only tokens
-    of routes (first ROUTE characters and length of the table spelling) that a suspect token has enter the tries, in
-    buckets of about BUCKET tokens.
+    Tokens and vocabulary are counted with partial aggregation, so frequent ones cost one row per task. Tokens meet
+    the vocabulary they could match in one trie by a hash of the whole table spelling, which loses nothing at budget 0
+    and parts tokens with a common beginning; tries hold about BUCKET tokens. Only vocabulary with the table spelling
+    of some suspect token enters a trie.
     """
     tokens = texts.select(F.explode(F.split(F.regexp_replace("text", r"\p{Zs}", " "), " ")).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     tokens = cut(tokens.withColumn("odd", suspect("token")))
@@ -161,12 +186,9 @@ def spellings(texts: DataFrame) -> DataFrame:
 
     odd = cut(tokens.filter("odd").withColumn("r", read("token")).select("token", "n", "r.table", F.col("r.well").alias("vocabulary"), F.lit(True).alias("ask")))
     plain = tokens.filter("not odd").select("token", "n", F.col("token").alias("table"), F.lit(True).alias("vocabulary"), F.lit(False).alias("ask"))
-    route = [F.substring("table", 1, ROUTE).alias("head"), F.length("table").alias("size")]
-    mine = odd.select("*", *route)
-    plain = plain.select("*", *route).join(mine.select("head", "size").distinct(), ["head", "size"], "left_semi")
-    both = cut(mine.unionByName(plain))
+    both = cut(odd.unionByName(plain.join(odd.select("table").distinct(), "table", "left_semi").select(odd.columns)))
     buckets = max(1, both.count() // BUCKET)
-    both = both.withColumn("bucket", F.pmod(F.xxhash64("head", "size"), F.lit(buckets)))
+    both = both.withColumn("bucket", F.pmod(F.xxhash64("table"), F.lit(buckets)))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         trie = Trie()
@@ -202,25 +224,35 @@ def consistent(texts: DataFrame) -> DataFrame:
     return clean.unionByName(back)
 
 
-def lookalike_pairs(rows: DataFrame) -> DataFrame:
-    """(table_name, key_a, key_b) for rows (table_name, key, text) of one table that look the same but differ.
-
-    Rows are first made distinct by key and text; only classes with a suspect text are joined, on their form, so the
-    join yields nothing but result rows. Null keys and texts that are null, empty or look empty are never cases.
-    """
+def _classes(rows: DataFrame) -> DataFrame:
+    """Distinct (table_name, key, t, f) with t the digest of the text and f that of its form, of classes with several texts."""
     r = rows.filter("key is not null and text <> ''").select("table_name", "key", "text")
     x = consistent(r).filter("form <> ''")
     x = cut(x.select("table_name", "key", F.unhex(F.md5(F.col("text").cast("binary"))).alias("t"), F.unhex(F.md5(F.col("form").cast("binary"))).alias("f")).distinct())
     groups = x.groupBy("table_name", "f").agg(F.min("t").alias("a"), F.max("t").alias("b")).filter("a <> b").select("table_name", "f")
-    members = cut(x.join(groups, ["table_name", "f"], "left_semi"))
-    a, b = members.alias("a"), members.alias("b")
-    on = (F.col("a.table_name") == F.col("b.table_name")) & (F.col("a.f") == F.col("b.f")) & (F.col("a.key") < F.col("b.key")) & (F.col("a.t") != F.col("b.t"))
-    return a.join(b, on).select("a.table_name", F.col("a.key").alias("key_a"), F.col("b.key").alias("key_b")).distinct()
-
-
-def explain_token(token: str) -> Iterator[tuple[str, str]]:
-    """Every changed character of a token with what it is read as."""
-    for c in unicodedata.normalize("NFC", token):
-        r = "" if c in IGNORABLE else fold(c)
-        if r != c:
-            yield c, r
+    return cut(x.join(groups, ["table_name", "f"], "left_semi"))
+
+
+def lookalike_pairs(rows: DataFrame) -> DataFrame:
+    """(table_name, key_a, key_b) for rows (table_name, key, text) of one table that look the same but differ.
+
+    Rows are first made distinct by key and text; only classes with several texts are joined, on their form and in
+    blocks, so no class fills a task. Null keys and texts that are null, empty or look empty are never cases.
+    """
+    m = _classes(rows)
+    both = product_join(m.select("table_name", "f", F.col("key").alias("key_a"), F.col("t").alias("ta")), m.select("table_name", "f", F.col("key").alias("key_b"), F.col("t").alias("tb")), ["table_name", "f"])
+    return both.filter("key_a < key_b and ta <> tb").select("table_name", "key_a", "key_b").distinct()
+
+
+def lookalike_classes(rows: DataFrame) -> DataFrame:
+    """(table_name, first_key, keys, spellings, links) of every class with several texts, nothing expanded.
+
+    links is the number of pairs of a class's distinct (key, text) that differ in both. Rows as in ``lookalike_pairs``.
+    """
+    m = _classes(rows)
+    pairs = lambda n: F.sum(n * (n - 1) / 2)
+    size = m.groupBy("table_name", "f").agg(F.min("key").alias("first_key"), F.count_distinct("key").alias("keys"), F.count_distinct("t").alias("spellings"), F.count("*").alias("n"))
+    alike = [m.groupBy("table_name", "f", c).agg(F.count("*").alias("k")).groupBy("table_name", "f").agg(pairs(F.col("k")).alias(f"by_{c}")) for c in ("t", "key")]
+    x = size.join(alike[0], ["table_name", "f"]).join(alike[1], ["table_name", "f"])
+    links = F.col("n") * (F.col("n") - 1) / 2 - F.col("by_t") - F.col("by_key")
+    return x.select("table_name", "first_key", "keys", "spellings", links.cast("bigint").alias("links"))

@@ -20,6 +20,11 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return lookalike.lookalike_pairs(_texts(spark, folder))
 
 
+def p1_classes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every class of texts that look the same, with its keys, spellings and links."""
+    return lookalike.lookalike_classes(_texts(spark, folder))
+
+
 def p1_forms(spark: SparkSession, folder: str) -> DataFrame:
     """The consistent form of every text of both tables."""
     return lookalike.consistent(_texts(spark, folder)).select("table_name", "key", "form")
@@ -40,7 +45,7 @@ def _copies(spark: SparkSession, folder: str) -> DataFrame:
     return formatting.formatting_copies(e.select(F.col("evidence_hash").alias("key"), F.col("source_api").alias("source"), "text"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p6_found, p6_copies)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_forms, p1_classes, p6_found, p6_copies)}
 
 _PLAIN = r"'[\p{P}\p{Z}\s\x1c-\x1f\x85]+'"
 
@@ -63,6 +68,10 @@ _FORMS = f"""SELECT table_name, key, x, {_FORM} AS form FROM (
 ORACLE = {
     "p1_forms": f"SELECT table_name, key, form FROM ({_FORMS})",
     "p1_found": f"WITH f AS ({_FORMS}) SELECT DISTINCT a.table_name, a.key AS key_a, b.key AS key_b FROM f a JOIN f b ON a.table_name = b.table_name AND a.form = b.form AND a.key < b.key AND a.x <> b.x WHERE a.form <> '' AND a.x <> '' AND b.x <> ''",
+    "p1_classes": f"""WITH f AS (SELECT DISTINCT table_name, key, x, form FROM ({_FORMS}) WHERE form <> '' AND x <> '' AND key IS NOT NULL),
+      c AS (SELECT table_name, form, min(key) AS first_key, count(DISTINCT key) AS keys, count(DISTINCT x) AS spellings FROM f GROUP BY ALL HAVING count(DISTINCT x) > 1),
+      l AS (SELECT a.table_name, a.form, count(*) AS links FROM f a JOIN f b ON a.table_name = b.table_name AND a.form = b.form AND a.x < b.x AND a.key <> b.key GROUP BY ALL)
+      SELECT table_name, first_key, keys, spellings, coalesce(links, 0) AS links FROM c LEFT JOIN l USING (table_name, form)""",
     "p6_found": f"SELECT DISTINCT first_hash, evidence_hash FROM ({_GROUPS}) WHERE evidence_hash <> first_hash",
     "p6_copies": f"SELECT DISTINCT first_hash, copies FROM ({_GROUPS})",
 }

@@ -5,6 +5,7 @@ import unicodedata
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from proofloom.llm import formatting, lookalike
 from tests.conftest import rows
@@ -19,6 +20,11 @@ PAIRS = [
     ("zero width", "ze​ro wid­th﻿"),
     ("KINASE", "KΙΝΑSΕ"),
     ("20 μM", "20 µM"),
+    ("side mark", "si\u202ade\u202c m\ufe0fark\U000e0041"),
+    ("filler", "fil\u3164ler\u061c"),
+    ("what dull quill", "w\u04bbat \u0501u\u04cfl \u051buill"),
+    ("cold", "\u03f2\u0585ld"),
+    ("Å", "\u0410\u200b\u030a"),
 ]
 DIFFERENT = [("naïve", "naive"), ("A B", "A  B"), ("A B", "A\tB"), ("a-b", "a–b"), ("Abc", "abc"), ("α-catex", "a-catex"), ("x1", "xl"), ('"q"', "“q”"), ("κ-light", "k-light"), ("x²", "x2")]
 
@@ -59,6 +65,46 @@ def test_trie_prefers_the_table_spelling_then_frequency():
     assert ("OCA", 1) in t.search("OCAT", 1) and not t.search("OCAT", 0)
 
 
+def test_the_automaton_agrees_with_the_table_on_raw_tokens():
+    rng = random.Random(8)
+    pool = "aoceАВаеосﬁ" + "\u0301\u030a\u200b\u00ad\ufe0f" + "Ａｂ" + "éÅ" + "пи"
+    words = ["".join(rng.choice("aocébipиABCfiÅ") for _ in range(rng.randrange(1, 5))) for _ in range(300)]
+    t = lookalike.Trie()
+    for w in set(filter(lookalike.well_formed, words)) | {"ao", "fi", "Åb", "é"}:
+        t.add(w, 1)
+    known = {w for w, _ in t.search("", 9)} | {"ao", "fi", "Åb", "é"}
+    for _ in range(3000):
+        token = "".join(rng.choice(pool) for _ in range(rng.randrange(1, 5)))
+        want = {w for w in known if lookalike.table_spelling(w) == lookalike.table_spelling(token)}
+        if unicodedata.category(token[0])[0] != "M" and unicodedata.normalize("NFC", token[:1]) == token[:1]:
+            assert {w for w, _ in t.search(token)} == want, ascii(token)
+
+
+def test_tokens_with_a_common_beginning_part(spark, monkeypatch):
+    monkeypatch.setattr(lookalike, "BUCKET", 50)
+    df = spark.createDataFrame([(f"https:\u200b//a.test/{i:04d}",) for i in range(2000)], "text string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        x = lookalike.spellings(df)
+        assert x.count() == 2000 and x.select(F.spark_partition_id()).distinct().count() == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert x.filter("spelling like '%\u200b%'").count() == 0
+
+
+def test_the_trie_decides_where_it_differs_from_the_table(spark):
+    df = spark.createDataFrame([("пp\u200bи",), ("при",), ("при",)], "text string")
+    assert {r["form"] for r in lookalike.consistent(df).collect()} == {"при"}
+    assert lookalike.table_spelling("пp\u200bи") == lookalike.table_spelling("при") != "при"
+
+
+def test_classes_count_their_links(spark):
+    data = [("e", "a", "KINASE"), ("e", "b", "KΙΝΑSΕ"), ("e", "c", "KΙΝΑSΕ"), ("e", "c", "KINASE"), ("e", "d", "other"), ("f", "a", "KINASE")]
+    df = spark.createDataFrame(data, "table_name string, key string, text string")
+    assert rows(lookalike.lookalike_classes(df)) == [("e", "a", 3, 2, 3)]
+    assert lookalike.lookalike_classes(df.limit(0)).count() == 0
+
+
 def _pairs(data):
     out = set()
     for t, k, x in data:
