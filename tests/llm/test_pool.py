@@ -1,6 +1,7 @@
 """Grouped splits, proportional samples and overlaps across splits."""
 
 import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -81,6 +82,39 @@ def test_allocation_is_whole_and_meets_quotas():
     assert got == {"train": 80, "valid": 10, "test": 10}
 
 
+def test_many_labels_and_bundles_are_no_burden():
+    began = time.time()
+    totals = {f"l{i}": 1 + i * 7919 % 997 for i in range(20_000)}
+    shares = {"train": 0.8, "valid": 0.1, "test": 0.1}
+    q = splits.quotas(totals, shares)
+    assert all(sum(q[k].values()) == n for k, n in totals.items())
+    total = sum(totals.values())
+    assert all(abs(sum(v[x] for v in q.values()) - shares[x] * total) <= 1 for x in shares)
+    assert all(abs(q[k][x] - n * shares[x]) < 2 for k, n in totals.items() for x in shares)
+    assert time.time() - began < 10
+
+
+def test_dealing_is_even_and_exact(spark):
+    df = spark.range(1, 101).select("id", F.array(*[F.struct(F.lit(x).alias("split"), F.lit(k).cast("bigint").alias("k")) for x, k in (("a", 80), ("b", 13), ("c", 7), ("d", 0))]).alias("p"))
+    got = [r[0] for r in df.select(splits.dealt(F.col("id"), F.col("p"))).collect()]
+    assert Counter(got) == {"a": 80, "b": 13, "c": 7}
+    assert all(abs(Counter(got[i : i + 20])["a"] - 16) <= 1 for i in range(80))
+
+
+def test_profiles_keep_their_proportions(spark):
+    rng = random.Random(4)
+    data = []
+    for g in range(900):
+        for j in range(rng.choice([1, 1, 2, 3])):
+            data.append((f"r{g:04d}{j}", [f"k{g}"], rng.choice(["x", "x", "y", "z"])))
+    t = spark.createDataFrame([("train", 0.5), ("test", 0.5)], "split string, target_share double")
+    got = splits.grouped_splits(spark.createDataFrame(data, SCHEMA), t)
+    label = {r: x for r, _, x in data}
+    n = Counter((label[r["id"]], r["split"]) for r in got.collect())
+    for x in "xyz":
+        assert abs(n[x, "train"] - n[x, "test"]) <= 0.06 * (n[x, "train"] + n[x, "test"]) + 4
+
+
 def _targets(spark, data, size):
     return spark.createDataFrame([(f, c, s, m, size) for f, c, s, m in data], "category_field string, category string, target_share double, min_rows int, sample_size int")
 
