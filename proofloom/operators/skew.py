@@ -39,9 +39,9 @@ def join_keyed(big: DataFrame, keyed: DataFrame, key: str, rows: str) -> DataFra
     dropped. ``big`` and ``keyed`` should be cut tables, since they are read twice where hot keys exist. A null key
     joins nothing; an empty side gives an empty result.
     """
-    total = keyed.agg(F.sum(rows)).first()[0] or 0
+    total, most = keyed.agg(F.coalesce(F.sum(rows), F.lit(0)), F.coalesce(F.max(rows), F.lit(0))).first()
     least = max(HOT_ROWS, total * HOT_SHARE)
-    hot = [r[0] for r in keyed.filter(F.col(rows) > least).select(key).collect()] if total > least else []
+    hot = [r[0] for r in keyed.filter(F.col(rows) > least).select(key).collect()] if most > least else []
     plain = keyed.drop(rows)
     if not hot:
         return big.join(plain, key)
