@@ -48,7 +48,7 @@ def related(rows: DataFrame) -> DataFrame:
     x = cut(rows.filter("id is not null").select("id", F.explode(F.array_distinct(F.filter("keys", lambda k: k.isNotNull()))).alias("key")))
     least = cut(x.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1"))
     links = join_keyed(x, least, "key", "n").filter("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-    roots = cut(connected(links))
+    roots = connected(links)
     return rows.filter("id is not null").select("id").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("root", "id").alias("first"))
 
 
