@@ -59,13 +59,20 @@ def p9_alignments(spark: SparkSession, folder: str) -> DataFrame:
     return leakage.leaks(docs, table(spark, folder, "eval_item").select(F.col("item_id").alias("id"), "text"))
 
 
+def p9_edited(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold an item whole, edited or not, by the score of its alignment."""
+    docs = table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    x = leakage.edited_leaks(docs, table(spark, folder, "eval_item").select(F.col("item_id").alias("id"), "text"))
+    return x.withColumn("share", F.round("share", 6))
+
+
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     """Junk pages."""
     x = spam.junk_pages(table(spark, folder, "documents"))
     return x.filter((F.col("words") >= spam.LEAST_WORDS) & (F.col("junk") > spam.SHARE)).select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_report, p7_links, p7_members, p8_ids, p9_found, p9_alignments, p10_found)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_report, p7_links, p7_members, p8_ids, p9_found, p9_alignments, p9_edited, p10_found)}
 _GRAMS = r"""SELECT DISTINCT {0} AS id, unnest([list_slice(w, i, i + 14) for i in range(1, len(w) - 13)]) AS g
   FROM (SELECT {0}, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+') AS w FROM {1}) WHERE len(w) >= 15"""
 # word edit distance by rows of the dynamic programme: costs holds, for each word of a, the cost of each word of b

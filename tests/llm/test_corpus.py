@@ -108,6 +108,41 @@ def test_leaks_against_brute_force(spark, seed):
     assert leakage.leaks(a.limit(0), b).count() == 0 and leakage.leaks(a, b.limit(0)).count() == 0
 
 
+def _edit(rng, words, rate, pool):
+    out = []
+    for w in words:
+        if rng.random() >= rate:
+            out.append(w)
+        elif (how := rng.random()) < 0.6:
+            out.append(rng.choice(pool))
+        elif how > 0.8:
+            out += [w, rng.choice(pool)]
+    return out
+
+
+def test_edited_copies_are_found(spark):
+    rng = random.Random(6)
+    items = [(i, _words(rng, rng.choice([20, 25, 35, 60]))) for i in range(120)]
+    docs = [(1000 * r + i, _words(rng, 40) + _edit(rng, w, r / 100, w) + _words(rng, 40)) for r in (0, 5, 10, 15, 20) for i, w in items]
+    docs += [(900_000 + i, _words(rng, 120)) for i in range(60)]
+    a = spark.createDataFrame([(i, " ".join(w)) for i, w in docs] + [(-1, None), (-2, ""), (None, "a b c")], "id long, text string")
+    b = spark.createDataFrame([(i, ", ".join(w).upper(), 1) for i, w in items] + [(-1, None), (-2, ""), (None, "a b c d")], "id long, text string, doc_id int")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.edited_leaks(a, b).collect()}
+    for r in (0, 5, 10, 15, 20):
+        assert sum((1000 * r + i, i) in got for i, _ in items) >= 0.9 * len(items), r
+    assert not any(d >= 900_000 for d, _ in got) and all(d % 1000 == i for d, i in got)
+    assert leakage.edited_leaks(a.limit(0), b).count() == 0 and leakage.edited_leaks(a, b.limit(0)).count() == 0
+
+
+def test_items_are_sought_in_blocks(spark, monkeypatch):
+    rng = random.Random(7)
+    items = [(i, " ".join(_words(rng, 30))) for i in range(7)]
+    df = spark.createDataFrame(items, "id long, text string")
+    want = rows(leakage.edited_leaks(df, df))
+    monkeypatch.setattr(leakage, "ITEM_BLOCK", 2)
+    assert rows(leakage.edited_leaks(df, df)) == want and len(want) == 7
+
+
 def test_suffix_automaton_cover_against_brute_force():
     rng = random.Random(4)
     for _ in range(300):
