@@ -17,6 +17,21 @@ SCORES = {
 # Greek letters and their Latin names.
 GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "ε": "epsilon", "κ": "kappa", "λ": "lambda", "μ": "mu", "ω": "omega"}
 
+# The name and the short form of every Greek letter, in the order in which names are replaced.
+GREEK_SHORT = {
+    "alpha": ("α", "a"), "beta": ("β", "b"), "gamma": ("γ", "g"), "delta": ("δ", "d"), "epsilon": ("ε", "e"), "zeta": ("ζ", "z"),
+    "eta": ("η", "h"), "theta": ("θ", "q"), "iota": ("ι", "i"), "kappa": ("κ", "k"), "lambda": ("λ", "l"), "mu": ("μ", "m"),
+    "nu": ("ν", "n"), "omicron": ("ο", "o"), "pi": ("π", "p"), "rho": ("ρ", "r"), "sigma": ("σ", "s"), "tau": ("τ", "t"),
+    "phi": ("φ", "f"), "chi": ("χ", "c"), "psi": ("ψ", "y"), "omega": ("ω", "w"),
+}
+# Tokens of names that tell nothing, and the Greek letters that are spelled out before names are cut.
+GENERIC_TOKENS = """protein proteins factor factors receptor receptors ligand ligands phosphatase phosphatases kinase kinases
+enzyme enzymes subunit family complex domain binding inhibitor activator substrate type alpha beta gamma delta 1 2 3 4 5
+the of and a an for to by or""".split()
+TOKEN_GREEK = {"α": "alpha", "β": "beta", "γ": "gamma", "δ": "delta", "κ": "kappa", "ε": "epsilon", "ζ": "zeta", "η": "eta"}
+# Fixed value: where a sentence ends.
+SENTENCE_END = r"(?<=[.?!])\s+(?=[A-Z(])"
+
 
 def score_of(verdict: Column, confidence: Column) -> Column:
     """The score of a verdict; a missing confidence counts as medium, any other verdict scores 0.5."""
@@ -53,10 +68,34 @@ def mentions(text: Column, symbol: Column) -> Column:
     return F.when(F.length(symbol) <= 4, F.regexp_like(F.lower(text), quoted)).otherwise(F.contains(F.lower(text), F.lower(symbol)))
 
 
+def folded_alias(c: Column) -> Column:
+    """A name in lower case with Greek letters and their names in short form and nothing but letters and digits.
+
+    p38\u03b1, p38-alpha and P38a are all p38a. Null if nothing is left.
+    """
+    x = F.lower(c)
+    for name, (letter, short) in GREEK_SHORT.items():
+        x = F.replace(F.replace(x, F.lit(name), F.lit(short)), F.lit(letter), F.lit(short))
+    return F.nullif(F.regexp_replace(x, r"[^\p{L}\p{N}]", ""), F.lit(""))
+
+
+def specific_tokens(c: Column) -> Column:
+    """The distinct letter runs and digit runs of a name in lower case, without GENERIC_TOKENS; none for null."""
+    x = F.lower(F.coalesce(c, F.lit("")))
+    for letter, name in TOKEN_GREEK.items():
+        x = F.replace(x, F.lit(letter), F.lit(name))
+    return F.array_except(F.regexp_extract_all(x, F.lit(r"[a-z]+|\d+"), F.lit(0)), F.array(*map(F.lit, GENERIC_TOKENS)))
+
+
 def clauses(text: Column, least: int = 12, most: int = 4) -> Column:
-    """The first ``most`` sentences of at least ``least`` characters."""
-    parts = F.split(text, r"(?<=[.?!])\s+(?=[A-Z(])")
-    return F.slice(F.filter(F.transform(parts, F.trim), lambda p: F.length(p) >= least), 1, most)
+    """The first ``most`` sentences of at least ``least`` characters; a text with fewer than two of them is one clause.
+
+    Null and blank texts have none.
+    """
+    strip = lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")
+    parts = F.filter(F.transform(F.split(strip(text), SENTENCE_END), strip), lambda p: F.length(p) >= least)
+    found = F.when(F.size(parts) < 2, F.array(text)).otherwise(F.slice(parts, 1, most))
+    return F.when(strip(F.coalesce(text, F.lit(""))) == "", F.array().cast("array<string>")).otherwise(found)
 
 
 def last_verdict(text: Column) -> Column:

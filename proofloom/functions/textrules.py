@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_left
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +44,48 @@ def hedged(text: Column, words: tuple[str, ...] = HEDGES) -> Column:
     return F.lower(text).rlike(r"\b(?:" + "|".join(words) + r")\b")
 
 
+# Markers of a hedge, the characters it may be away from a name, and what parts clauses.
+HEDGE_MARKERS = (
+    "may", "could", "might", "would", "is thought to", "are thought to", "is believed to", "are believed to", "appears to",
+    "appear to", "appears as", "we hypothesize", "we propose", "we suggest", "we postulate", "likely", "possibly", "putatively",
+    "presumably", "presumably to",
+)
+HEDGE_REACH = 60
+CLAUSE_BREAK = r"[;:—]|--|\.\s+[A-Z(]"
+
+
+def local_hedges(text: Column, names: Column) -> Column:
+    """The HEDGE_MARKERS of a text that stand within HEDGE_REACH characters of one of ``names`` and in its clause, in order.
+
+    Names under two characters are left out; null texts and names have no hedges. The test is made on Arrow batches.
+    """
+    marker = re.compile(r"\b(?=(" + "|".join(map(re.escape, sorted(HEDGE_MARKERS, key=len, reverse=True))) + r")\b)")
+    starts = [(re.compile(rf"\b{re.escape(m)}\b"), m) for m in HEDGE_MARKERS]
+    breaks = re.compile(CLAUSE_BREAK)
+
+    def near(t: str | None, ns) -> list[str]:
+        low = (t or "").lower()
+        if not marker.search(low):
+            return []
+        spans = [m.span() for n in (ns if ns is not None else []) if n and len(n) > 1 for m in re.finditer(rf"\b{re.escape(n.lower())}\b", low)]
+        if not spans:
+            return []
+        at = [m.start() for m in breaks.finditer(t)]
+
+        def reaches(a: int, b: int, c: int, d: int) -> bool:
+            """Whether a marker [a, b) and a name [c, d) are close and nothing parts them."""
+            low, high = (b, c) if b <= c else (d, a)
+            return a <= d + HEDGE_REACH and b >= c - HEDGE_REACH and bisect_left(at, low) == bisect_left(at, max(low, high))
+
+        return [name for find, name in starts if any(reaches(*m.span(), c, d) for m in find.finditer(low) for c, d in spans)]
+
+    @F.pandas_udf("array<string>")
+    def found(t: pd.Series, ns: pd.Series) -> pd.Series:
+        return pd.Series([near(x, y) for x, y in zip(t, ns)])
+
+    return found(text, names)
+
+
 def nominalizations(text: Column, most: int = 6) -> Column:
     """The first ``most`` distinct nouns in -ation or -ition that an ``of`` follows, in lower case."""
     return F.slice(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?:^|[ (])([a-z]{4,}(?:at|it)ion) of "), F.lit(1))), 1, most)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from math import comb
+from math import comb, exp, lgamma, log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,10 +12,20 @@ from pyspark.sql.window import Window
 from proofloom.operators.skew import bounded_broadcast
 
 
+#: Discordant pairs up to which the tail is summed in whole numbers; beyond it in logarithms, in time of their root.
+EXACT_PAIRS = 1_000
+
+
 def mcnemar(b: int, c: int) -> float:
     """Exact two-sided p of b and c discordant pairs: twice the upper tail of Binomial(b + c, 1/2), 1 at most."""
-    n = b + c
-    return min(1.0, 2 * sum(comb(n, i) for i in range(max(b, c), n + 1)) / 2**n) if n else 1.0
+    n, k = b + c, max(b, c)
+    if n <= EXACT_PAIRS:
+        return min(1.0, 2 * sum(comb(n, i) for i in range(k, n + 1)) / 2**n) if n else 1.0
+    term = exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) - n * log(2))
+    tail = 0.0
+    while k <= n and term > tail * 1e-18:  # terms fall from the middle on, so the tail ends early
+        tail, term, k = tail + term, term * (n - k) / (k + 1), k + 1
+    return min(1.0, 2 * tail)
 
 
 def discordance(x: DataFrame, a: Column, b: Column, keys: list[str] | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from typing import Protocol
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from proofloom.operators.belief import noisy_or
 from proofloom.operators.ingest import content_key
-from proofloom.sources.sinks import append_log
+from proofloom.sources.sinks import append_log, has_rows
 
 
 class ScoreClient(Protocol):
@@ -68,33 +69,37 @@ def score_corpus(pairs: DataFrame, client: Callable[[], ScoreClient], run_id: st
     """
     key = content_key(F.lit(run_id), F.col("stmt_hash"), F.col("evidence_hash"), F.lit(version), F.lit("aggregate"))
     todo = pairs.dropDuplicates(["stmt_hash", "evidence_hash"]).withColumn("step_hash", key)
-    try:
+    if has_rows(pairs.sparkSession, log):
         todo = todo.join(pairs.sparkSession.read.parquet(log).select("step_hash"), "step_hash", "left_anti")
-    except Exception:  # no log yet
-        pass
     x = scored(todo, client).withColumn("step_hash", key).withColumns({"run_id": F.lit(run_id), "step_kind": F.lit("aggregate"), "started_at": F.current_timestamp()})
     return append_log(x, log)
 
 
 def last_json(text: Column) -> Column:
-    """The last top-level JSON object of a free text, as text; null without one."""
+    """The last top-level JSON object of a free text, as text; null without one.
+
+    Read from the back: of every closing brace the opening braces before it are tried, the farthest first, so the
+    object found is not part of a larger one.
+    """
     @F.pandas_udf("string")
     def find(s: pd.Series) -> pd.Series:
-        decoder = json.JSONDecoder()
+        return s.map(_last_object)
 
-        def last(t: str | None) -> str | None:
-            found, i = None, (t or "").find("{")
-            while i >= 0:
-                try:
-                    x, end = decoder.raw_decode(t, i)
-                    found, i = json.dumps(x), t.find("{", end)
-                except (ValueError, RecursionError):
-                    i = t.find("{", i + 1)
-            return found
+    return find(text)
 
-        return s.map(last)
 
-    return find(text)
+def _last_object(text: str | None) -> str | None:
+    opened, closed = ([m.start() for m in re.finditer(c, text or "")] for c in (r"\{", r"\}"))
+    for end in reversed(closed):
+        for start in opened:
+            if start > end:
+                break
+            try:
+                x = json.loads(text[start : end + 1])
+            except (ValueError, RecursionError):
+                continue
+            return json.dumps(x)
+    return None
 
 
 def passes_gate(verdict: Column, gate_unscored: bool = False) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from proofloom.functions import scalars
+from proofloom.functions import scalars, textrules
 from proofloom.operators import cohorts, evaluation, ingest, paired, trace, validity, windows
 from proofloom.plans import audit
 from proofloom.plans import views as V
@@ -279,6 +279,19 @@ def e5_ece(s, d):
     return rounded(evaluation.ece(evaluation.reliability_bins(_judged(s, d), F.col("score"), F.col("gold") == "correct", _EDGES)))
 
 
+#: Bins of the holdout's calibration error; a missing score and a score of 0 count as one half there.
+_HOLDOUT_EDGES = [0.0, 0.05, 0.20, 0.35, 0.50, 0.65, 0.80, 0.95, 1.001]
+
+
+@query(_J + ", hs AS (SELECT coalesce(nullif(score, 0), 0.5) AS s, (gold = 'correct')::INT AS t FROM jd), hb AS (SELECT " + " + ".join(f"(s >= {e})::INT" for e in _HOLDOUT_EDGES) + """ AS bin, count(*) AS n, abs(avg(s) - avg(t)) AS gap FROM hs GROUP BY 1)
+  SELECT round(sum(n * gap) FILTER (bin BETWEEN 1 AND 8) / (SELECT count(*) FROM hs), 6) AS ece, CAST(sum(n) FILTER (bin BETWEEN 1 AND 8) AS BIGINT) AS n FROM hb""")
+def e5_holdout_ece(s, d):
+    x = _judged(s, d).select(F.coalesce(F.nullif("score", F.lit(0.0)), F.lit(0.5)).alias("score"), (F.col("gold") == "correct").alias("t"))
+    bins = evaluation.reliability_bins(x, F.col("score"), F.col("t"), _HOLDOUT_EDGES)
+    total = x.agg(F.count("*").alias("total"))
+    return rounded(evaluation.ece(bins.crossJoin(F.broadcast(total)), F.max("total")))
+
+
 @query(_J + "SELECT run_id, round(avg(pow(score - (gold = 'correct')::INT, 2)), 6) AS brier FROM jd GROUP BY 1")
 def e6_brier(s, d):
     return rounded(evaluation.brier(_judged(s, d), F.col("score"), F.col("gold") == "correct", ["run_id"]))
@@ -305,10 +318,11 @@ def e4_discordance(s, d):
     return evaluation.discordance(x, F.col("a_verdict") == F.col("gold"), F.col("b_verdict") == F.col("gold"))
 
 
-@query()
+@query(_DISC + """SELECT a_only AS b, b_only AS c, round(CASE WHEN a_only + b_only = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2)))
+  FROM (SELECT a_only + b_only AS n, unnest(range(greatest(a_only, b_only), a_only + b_only + 1)) AS i))) END, 9) AS p FROM dc""")
 def e3_mcnemar(s, d):
     r = e4_discordance(s, d).first()
-    return s.createDataFrame([(r["a_only"], r["b_only"], evaluation.mcnemar(r["a_only"], r["b_only"]))], "b bigint, c bigint, p double")
+    return s.createDataFrame([(r["a_only"], r["b_only"], round(evaluation.mcnemar(r["a_only"], r["b_only"]), 9))], "b bigint, c bigint, p double")
 
 
 @query("SELECT run_id, round(quantile_cont(score, 0.5), 6) AS median, round(quantile_cont(score, 0.9), 6) AS p90 FROM step_v GROUP BY 1")
@@ -428,13 +442,43 @@ def c30_try_cast(s, d):
     return table(s, d, "fewshot_pool").select("record_id", F.expr("try_cast(nullif(trim(pmid), '') as bigint)").alias("pmid"), note.alias("note"))
 
 
-@query()
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_SENTENCES = f"""list_filter(list_transform(string_split(regexp_replace({_STRIP.format('text')}, '([.?!])\\s+([A-Z(])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda p: {_STRIP.format('p')}), lambda p: length(p) >= 12)"""
+
+
+@query(f"SELECT doc_id, CASE WHEN {_STRIP.format("coalesce(text, '')")} = '' THEN [] WHEN len(p) < 2 THEN [text] ELSE list_slice(p, 1, 4) END AS clauses FROM (SELECT doc_id, text, {_SENTENCES} AS p FROM documents)", views=False)
 def c20_clauses(s, d):
     return table(s, d, "documents").select("doc_id", scalars.clauses(F.col("text")).alias("clauses"))
 
 
-@query()
+def _tokens_sql(c: str) -> str:
+    x = f"lower(coalesce({c}, ''))"
+    for g, n in scalars.TOKEN_GREEK.items():
+        x = f"replace({x}, '{g}', '{n}')"
+    return f"list_filter(regexp_extract_all({x}, '[a-z]+|\\d+'), lambda t: t NOT IN ({', '.join(repr(t) for t in scalars.GENERIC_TOKENS)}))"
+
+
+@query(f"SELECT record_id, len(k) AS shared, coalesce(length(object) >= 3 AND len(k) > 0, false) AS matches FROM (SELECT record_id, object, list_distinct(list_intersect({_tokens_sql('evidence_text')}, {_tokens_sql('object')})) AS k FROM fewshot_pool)", views=False)
 def c25_token_overlap(s, d):
-    t = F.regexp_extract_all(F.lower("evidence_text"), F.lit(r"[a-z]+|\d+"), F.lit(0))
-    o = F.regexp_extract_all(F.lower("object"), F.lit(r"[a-z]+|\d+"), F.lit(0))
-    return table(s, d, "fewshot_pool").select("record_id", F.size(F.array_intersect(t, o)).alias("shared"))
+    shared = F.size(F.array_intersect(scalars.specific_tokens(F.col("evidence_text")), scalars.specific_tokens(F.col("object")))).cast("bigint")
+    return table(s, d, "fewshot_pool").select("record_id", shared.alias("shared"), F.coalesce((F.length("object") >= 3) & (shared > 0), F.lit(False)).alias("matches"))
+
+
+def _folded_sql(c: str) -> str:
+    x = f"lower({c})"
+    for name, (letter, short) in scalars.GREEK_SHORT.items():
+        x = f"replace(replace({x}, '{name}', '{short}'), '{letter}', '{short}')"
+    return f"nullif(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]', '', 'g'), '')"
+
+
+@query(f"SELECT DISTINCT name, {_folded_sql('name')} AS folded FROM (SELECT name FROM agent UNION SELECT json_extract_string(CASE WHEN json_valid(db_refs_json) THEN db_refs_json END, '$.TEXT') FROM agent)", views=False)
+def c7_folded_names(s, d):
+    a = table(s, d, "agent")
+    names = a.select("name").union(a.select(F.get_json_object("db_refs_json", "$.TEXT"))).distinct()
+    return names.select("name", scalars.folded_alias(F.col("name")).alias("folded"))
+
+
+@query()
+def c14_local_hedges(s, d):
+    p = table(s, d, "fewshot_pool")
+    return p.select("record_id", textrules.local_hedges(F.col("evidence_text"), F.array("subject", "object")).alias("markers")).filter(F.size("markers") > 0)

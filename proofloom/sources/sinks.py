@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -21,19 +21,29 @@ def upserted(old: DataFrame, new: DataFrame, key: list[str], order: str | None =
     return old.alias("o").join(last.select(*key).alias("n"), on, "left_anti").unionByName(last)
 
 
+def has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether a data file lies below ``path``. A path that is not there has none; any other failure is raised."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        return False
+    files = fs.listFiles(where, True)
+    while files.hasNext():
+        f = files.next().getPath()
+        if f.getName()[0] not in "_." and "/_temporary/" not in f.toString():
+            return True
+    return False
+
+
 def append_log(new: DataFrame, path: str, key: str = "step_hash", partition: str = "run_id") -> int:
     """Append the rows whose key the log does not hold; returns how many. Running it again appends nothing."""
     spark = new.sparkSession
     fresh = new.dropDuplicates([key])
-    try:
-        there = spark.read.parquet(path)
-    except Exception:  # the log does not exist yet
-        there = None
-    if there is not None:
-        fresh = fresh.join(there.select(key), key, "left_anti")
-    before = there.count() if there is not None else 0
-    fresh.write.mode("append").partitionBy(partition).parquet(path)
-    return spark.read.parquet(path).count() - before
+    if has_rows(spark, path):
+        fresh = fresh.join(spark.read.parquet(path).select(key), key, "left_anti")
+    count = Observation()
+    fresh.observe(count, F.count(F.lit(1)).alias("n")).write.mode("append").partitionBy(partition).parquet(path)
+    return count.get["n"]
 
 
 def replace_runs(metrics: DataFrame, path: str) -> None:

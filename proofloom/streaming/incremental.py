@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window
 
+from proofloom.sources.sinks import has_rows
+
 
 def scored_stream(spark: SparkSession, source: str, schema: str, log: str, checkpoint: str, score: Callable[[DataFrame], DataFrame], key: str = "step_hash", files: int = 1000) -> StreamingQuery:
     """Read new Parquet files below ``source``, score them and append rows with keys new to ``log``; stops when done.
@@ -19,10 +21,8 @@ def scored_stream(spark: SparkSession, source: str, schema: str, log: str, check
     """
     def write(batch: DataFrame, n: int) -> None:
         new = score(batch).dropDuplicates([key])
-        try:
+        if has_rows(batch.sparkSession, log):
             new = new.join(batch.sparkSession.read.parquet(log).select(key), key, "left_anti")
-        except Exception:  # no log before the first batch
-            pass
         new.withColumn("batch", F.lit(n)).write.mode("append").parquet(log)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
