@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proofloom.operators.belief import noisy_or
+from proofloom.operators.belief import passes as passes_gate
 from proofloom.operators.ingest import content_key
 from proofloom.sources.sinks import append_log, has_rows
 
@@ -34,6 +35,7 @@ class RuleClient:
         return {"score": 0.95 if ok else 0.2, "verdict": "correct" if ok else "incorrect", "confidence": "high" if ok else "medium"}
 
 
+__all__ = ["RuleClient", "ScoreClient", "aggregated", "last_json", "passes_gate", "score_corpus", "scored"]
 _OUT = "stmt_hash string, evidence_hash string, score double, verdict string, confidence string, error string, output_json string"
 _NAMES = [x.split()[0] for x in _OUT.split(", ")]
 
@@ -102,12 +104,6 @@ def _last_object(text: str | None) -> str | None:
     return None
 
 
-def passes_gate(verdict: Column, gate_unscored: bool = False) -> Column:
-    """Whether an evidence counts: correct does, incorrect doesn't; abstain and none do unless ``gate_unscored``."""
-    v = F.lower(verdict)
-    return F.when(v.isNull() | (v == "abstain"), F.lit(not gate_unscored)).otherwise(v == "correct")
-
-
 def aggregated(steps: DataFrame, keys: list[str], how: str | Callable[[list[float]], float]) -> DataFrame:
     """Scores per key by mean, noisy_or, or any function of the list of scores; null scores are left out.
 

@@ -20,15 +20,16 @@ def latest(df: DataFrame, keys: list[str], at: str = "started_at", tie: str = "s
     return first_by(df, keys, [F.desc_nulls_last(at), F.desc_nulls_last(tie)])
 
 
-def gold(labels: DataFrame, steps: DataFrame) -> DataFrame:
+def gold(labels: DataFrame, steps: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """Steps with the label that applies to them: a label of the step's evidence, for its statement or for any.
 
     A label for the statement goes before a general one, a verdict before a tag, then the smaller value. Steps without
-    a label have no row. The join keeps its equality on the evidence and tests the statement in its condition.
+    a label have no row. The join keeps its equality on the evidence and tests the statement in its condition. The
+    steps' columns ``carry`` are kept, so nothing has to be joined back to the steps.
     """
     on = (F.col("l.target_id") == F.col("s.evidence_hash")) & (F.col("l.relation_target_id").isNull() | (F.col("l.relation_target_id") == F.col("s.stmt_hash")))
     key = ["run_id", "stmt_hash", "evidence_hash", "step_hash"]
-    x = steps.alias("s").join(labels.alias("l"), on).select(*[f"s.{c}" for c in key], "s.verdict", F.col("l.value_text").alias("gold"), F.col("l.field").alias("gold_field"), F.col("l.relation_target_id").isNull().alias("general"))
+    x = steps.alias("s").join(labels.alias("l"), on).select(*[f"s.{c}" for c in key], "s.verdict", *[f"s.{c}" for c in carry], F.col("l.value_text").alias("gold"), F.col("l.field").alias("gold_field"), F.col("l.relation_target_id").isNull().alias("general"))
     return first_by(x, key, [F.col("general"), (F.col("gold_field") != "verdict"), F.asc_nulls_last("gold")]).drop("general")
 
 

@@ -377,7 +377,36 @@ def bel2_spread_reliability(s, d):
 @query(f", {_N} SELECT stmt_hash, round(1 - product(CASE WHEN ok = 0 THEN 1 ELSE syst + pow(rand, ok) END), 6) AS belief, round(1 - product(syst + pow(rand, n)), 6) AS parametric, CAST(sum(n) AS BIGINT) AS n_total, CAST(sum(ok) AS BIGINT) AS n_surviving FROM f GROUP BY 1")
 def bel4_gated(s, d):
     e = V.membership(s, d).join(V.evidence(s, d), "evidence_hash").select("stmt_hash", F.col("source_api").alias("source"), F.col("is_curated").alias("included"))
-    return rounded(belief.gated(e, ["stmt_hash"]))
+    return rounded(belief.gated(e, ["stmt_hash"]).drop("per_source"))
+
+
+_DIRECTED = f"""n AS (SELECT stmt_hash, verdict AS direction, source_api, count(*) AS n, count(*) FILTER ({{included}}) AS ok FROM step_v JOIN evidence_v USING (evidence_hash) GROUP BY 1, 2, 3),
+  f2 AS (SELECT n.*, coalesce(rand, {belief.OTHER[0]}) AS rand, coalesce(syst, {belief.OTHER[1]}) AS syst FROM n LEFT JOIN {_PRIOR} p ON p.source = n.source_api)"""
+
+
+@query(f""", {_DIRECTED.format(included="is_curated")}, r AS (SELECT stmt_hash, direction, 1 - product(CASE WHEN ok = 0 THEN 1 ELSE syst + pow(rand, ok) END) AS belief, 1 - product(syst + pow(rand, n)) AS parametric, sum(n) AS n, sum(ok) AS ok FROM f2 GROUP BY 1, 2),
+  t AS (SELECT *, row_number() OVER (PARTITION BY stmt_hash ORDER BY round(belief, 12) DESC, direction) AS i FROM r)
+  SELECT stmt_hash, round(max(belief) FILTER (i = 1) * (1 - coalesce(max(belief) FILTER (i > 1), 0)), 9) AS belief, round(max(parametric) FILTER (i = 1), 9) AS parametric, CAST(sum(n) AS BIGINT) AS n_total, CAST(sum(ok) AS BIGINT) AS n_surviving,
+    max(direction) FILTER (i = 1) AS direction, count(*) > 1 AS contradictory FROM t GROUP BY 1""")
+def bel5_gated_contradiction(s, d):
+    e = V.step(s, d).join(V.evidence(s, d), "evidence_hash").select("stmt_hash", F.col("source_api").alias("source"), F.col("is_curated").alias("included"), F.col("verdict").alias("direction"))
+    x = belief.gated_with_contradiction(e, ["stmt_hash"]).drop("per_source")
+    return x.withColumns({c: F.round(c, 9) for c in ("belief", "parametric")})
+
+
+@query(f""", m AS (SELECT stmt_hash, source_api, count(*) AS n, count(*) FILTER (verdict IN ('correct', 'abstain') OR verdict IS NULL) AS ok, bool_or(verdict IS NOT NULL) AS scored FROM step_v JOIN evidence_v USING (evidence_hash) GROUP BY 1, 2),
+  f3 AS (SELECT m.*, coalesce(rand, {belief.OTHER[0]}) AS rand, coalesce(syst, {belief.OTHER[1]}) AS syst FROM m LEFT JOIN {_PRIOR} p ON p.source = m.source_api)
+  SELECT stmt_hash, round(1 - product(CASE WHEN ok = 0 THEN 1 ELSE syst + pow(rand, ok) END), 6) AS belief, round(1 - product(syst + pow(rand, n)), 6) AS parametric, CAST(sum(n) AS BIGINT) AS n_total, CAST(sum(ok) AS BIGINT) AS n_surviving,
+    CAST(sum(n) - sum(ok) AS BIGINT) AS n_gated, bool_or(scored) AS has_scores FROM f3 GROUP BY 1""")
+def bel7_composed(s, d):
+    e = V.step(s, d).join(V.evidence(s, d), "evidence_hash").select("stmt_hash", F.col("source_api").alias("source"), "verdict")
+    return rounded(belief.composed(e, ["stmt_hash"]).drop("per_source"))
+
+
+@query(f", {_N} SELECT stmt_hash, source_api AS source, n, ok AS surviving, CASE WHEN ok > 0 THEN round(syst + pow(rand, ok), 6) END AS doubt FROM f")
+def bel4_breakdown(s, d):
+    e = V.membership(s, d).join(V.evidence(s, d), "evidence_hash").select("stmt_hash", F.col("source_api").alias("source"), F.col("is_curated").alias("included"))
+    return rounded(belief.gated(e, ["stmt_hash"]).select("stmt_hash", F.explode("per_source").alias("p")).select("stmt_hash", "p.*"))
 
 
 @query(f""", n AS (SELECT stmt_hash, verdict AS direction, source_api, count(*) AS n FROM step_v JOIN evidence_v USING (evidence_hash) GROUP BY 1, 2, 3),

@@ -261,7 +261,7 @@ def u4_key_difference(s, d):
 
 
 def _judged(s: SparkSession, d: str) -> DataFrame:
-    return audit._gold(s, d).join(V.step(s, d).select("step_hash", "run_id", "stmt_hash", "evidence_hash", "score", "confidence").dropDuplicates(["step_hash", "run_id", "stmt_hash", "evidence_hash"]), ["step_hash", "run_id", "stmt_hash", "evidence_hash"])
+    return windows.gold(V.truth_label(s, d), audit._latest(s, d), ("score", "confidence"))
 
 
 _J = f", {audit._GOLD}, sd AS (SELECT DISTINCT step_hash, run_id, stmt_hash, evidence_hash, score FROM step_v), jd AS (SELECT g.*, sd.score FROM g JOIN sd USING (step_hash, run_id, stmt_hash, evidence_hash)) "

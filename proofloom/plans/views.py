@@ -4,7 +4,7 @@ statement       <- orders     stmt_hash, stmt_type (priority), belief (price / 5
 step            <- lineitem   aggregate steps of two runs (line status): score, verdict, confidence, cost columns
 membership      <- lineitem   distinct (stmt_hash, evidence_hash); an evidence is shared by up to three statements
 evidence        <- lineitem   distinct evidence_hash with its source_api
-truth_label     <- lineitem   verdict and tag labels of every fifth part's evidence, half of them for one statement only
+truth_label     <- lineitem   verdict and tag labels of the evidence, half of them for one statement only
 trace_step      <- events     the step log with JSON output
 run             <- supplier   runs with architecture, status and start
 """
@@ -67,7 +67,6 @@ def membership(spark: SparkSession, folder: str) -> DataFrame:
 def truth_label(spark: SparkSession, folder: str) -> DataFrame:
     return (
         _lines(spark, folder)
-        .filter("l_partkey % 5 = 0")
         .selectExpr(
             "evidence_hash AS target_id",
             "CASE WHEN l_suppkey % 2 = 0 THEN stmt_hash END AS relation_target_id",
@@ -134,7 +133,7 @@ evidence_v AS (SELECT evidence_hash, ([{", ".join(f"'{s}'" for s in SOURCES)}])[
   CAST(substr(evidence_hash, 2) AS BIGINT) % 3 = 0 AS is_curated FROM (SELECT DISTINCT evidence_hash FROM {_L})),
 membership_v AS (SELECT DISTINCT stmt_hash, evidence_hash FROM {_L}),
 truth_label_v AS (SELECT DISTINCT evidence_hash AS target_id, CASE WHEN l_suppkey % 2 = 0 THEN stmt_hash END AS relation_target_id,
-  CASE WHEN l_quantity < 25 THEN 'verdict' ELSE 'tag' END AS field, CASE WHEN l_extendedprice < 30000 THEN 'correct' ELSE 'incorrect' END AS value_text FROM {_L} WHERE l_partkey % 5 = 0),
+  CASE WHEN l_quantity < 25 THEN 'verdict' ELSE 'tag' END AS field, CASE WHEN l_extendedprice < 30000 THEN 'correct' ELSE 'incorrect' END AS value_text FROM {_L}),
 run_v AS (SELECT 'r' || s_suppkey AS run_id, CASE WHEN s_suppkey % 2 = 0 THEN 'decomposed' ELSE 'monolithic' END AS architecture,
   CASE s_nationkey % 4 WHEN 0 THEN 'running' WHEN 1 THEN 'failed' ELSE 'succeeded' END AS status,
   TIMESTAMP '2024-01-01 00:00:00' + to_hours(CAST(s_suppkey AS INT)) AS started_at, s_acctbal AS cost FROM supplier),

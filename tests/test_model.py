@@ -167,3 +167,34 @@ def test_score_grid_is_complete(spark):
     grid = [(v, c) for v, c in product(("correct", "incorrect"), ("low", "medium", "high"))]
     got = {tuple(r)[:2]: r[2] for r in spark.createDataFrame(grid, "v string, c string").select("v", "c", scalars.score_of(F.col("v"), F.col("c"))).collect()}
     assert got == scalars.SCORES
+
+
+def test_gated_belief_by_direction(spark):
+    data = [("a", "reach", True, "up"), ("a", "Reach", True, "up"), ("a", "signor", False, "up"), ("a", "reach", True, "down"), ("b", "reach", None, None), ("b", "reach", True, "up"), ("c", "reach", False, "up")]
+    df = spark.createDataFrame(data, "k string, source string, included boolean, direction string")
+    got = {r["k"]: r for r in belief.gated_with_contradiction(df, ["k"]).collect()}
+    up, down = 1 - (0.05 + 0.3**2), 1 - (0.05 + 0.3)
+    assert abs(got["a"]["belief"] - up * (1 - down)) < 1e-12 and got["a"]["direction"] == "up" and got["a"]["contradictory"]
+    assert (got["a"]["n_total"], got["a"]["n_surviving"]) == (4, 3)
+    assert [(p["source"], p["n"], p["surviving"]) for p in got["a"]["per_source"]] == [("reach", 2, 2), ("signor", 1, 0)]
+    assert got["b"]["direction"] == "unknown" and got["b"]["contradictory"] and got["c"]["belief"] == 0.0 and not got["c"]["contradictory"]
+    assert belief.gated_with_contradiction(df.limit(0), ["k"]).count() == 0
+
+
+def test_composed_belief_from_verdicts(spark):
+    data = [("a", "reach", "correct", "up"), ("a", "reach", "Incorrect", "up"), ("a", None, "abstain", "down"), ("b", "reach", None, "up")]
+    df = spark.createDataFrame(data, "k string, source string, verdict string, direction string")
+    got = {r["k"]: r for r in belief.composed(df, ["k"]).collect()}
+    assert (got["a"]["n_total"], got["a"]["n_surviving"], got["a"]["n_gated"], got["a"]["has_scores"]) == (3, 2, 1, True)
+    assert not got["b"]["has_scores"] and got["b"]["n_gated"] == 0
+    strict = {r["k"]: r["n_surviving"] for r in belief.composed(df, ["k"], gate_unscored=True, directions=True).collect()}
+    assert strict == {"a": 1, "b": 0}
+    assert belief.RECALIBRATED["signor"] == belief.PRIORS["signor"] and belief.RECALIBRATED["reach"] != belief.PRIORS["reach"]
+
+
+def test_mcnemar_in_logarithms(monkeypatch):
+    for b, c in ((620, 500), (700, 300), (505, 505), (1000, 0)):
+        exact = min(1.0, 2 * sum(comb(b + c, i) for i in range(max(b, c), b + c + 1)) / 2 ** (b + c))
+        monkeypatch.setattr(evaluation, "EXACT_PAIRS", 0)
+        assert abs(evaluation.mcnemar(b, c) - exact) <= 1e-9 * exact + 1e-300
+    assert evaluation.mcnemar(1_000_000, 998_000) > 0.1

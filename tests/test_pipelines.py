@@ -3,6 +3,7 @@
 import gzip
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from proofloom.sources import documents, sinks
@@ -88,3 +89,15 @@ def test_watermarked_windows(spark, tmp_path):
 def test_budget(spark):
     x = spark.createDataFrame([(1, 1, 4.0), (1, 2, None), (2, 1, 7.0), (2, 2, 1.0), (3, 1, 1.0)], "d int, i int, c double")
     assert rows(incremental.within_budget(x, "c", 10, ["d", "i"]).select("d", "i")) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_a_log_that_cannot_be_read_is_no_empty_log(spark, tmp_path):
+    log = str(tmp_path / "log")
+    a = spark.createDataFrame([("a", "r", 1)], "step_hash string, run_id string, v int")
+    assert not sinks.has_rows(spark, log) and sinks.append_log(a, log) == 1 and sinks.has_rows(spark, log)
+    for p in (tmp_path / "log").rglob("*.parquet"):
+        p.write_bytes(b"broken")
+    for p in (tmp_path / "log").rglob("*.crc"):
+        p.unlink()
+    with pytest.raises(Exception):
+        sinks.append_log(a, log)

@@ -33,3 +33,17 @@ def test_relations_and_binding(spark):
     assert rows(r) == [(1, "activates", 1, "AB1", "CD2"), (1, "blocked_by", -1, "AB1", "EF3")]
     a = spark.createDataFrame([("AB1", "x", 1), ("AB1", "w", 0), ("CD2", "w", 0), ("EF3", "z", 0)], "alias string, canonical string, position int")
     assert rows(textrules.bound(r, a).select("agent_id", "target_id")) == [("w", "z")]
+
+
+def test_local_hedges(spark):
+    data = [
+        ("ABC1 may bind XYZ2.", ["ABC1", "XYZ2"], ["may"]),
+        ("ABC1 binds XYZ2; it may matter.", ["ABC1"], []),
+        ("We propose that " + "x" * 70 + " then ABC1 binds.", ["ABC1"], []),
+        ("It is thought to be so. ABC1 binds.", ["ABC1"], []),
+        ("ABC1 is thought to act, possibly on X.", ["abc1", "X"], ["is thought to", "possibly"]),
+        (None, ["ABC1"], []),
+        ("may be", None, []),
+    ]
+    df = spark.createDataFrame([(t, n) for t, n, _ in data], "t string, n array<string>")
+    assert [r[0] for r in df.select(textrules.local_hedges(F.col("t"), F.col("n"))).collect()] == [w for _, _, w in data]
