@@ -126,7 +126,7 @@ def test_edited_copies_are_found(spark):
     docs = [(1000 * r + i, _words(rng, 40) + _edit(rng, w, r / 100, w) + _words(rng, 40)) for r in (0, 5, 10, 15, 20) for i, w in items]
     docs += [(900_000 + i, _words(rng, 120)) for i in range(60)]
     a = spark.createDataFrame([(i, " ".join(w)) for i, w in docs] + [(-1, None), (-2, ""), (None, "a b c")], "id long, text string")
-    b = spark.createDataFrame([(i, ", ".join(w).upper(), 1) for i, w in items] + [(-1, None), (-2, ""), (None, "a b c d")], "id long, text string, doc_id int")
+    b = spark.createDataFrame([(i, ", ".join(w).upper(), 1) for i, w in items] + [(-1, None, 1), (-2, "", 1), (None, "a b c d", 1)], "id long, text string, doc_id int")
     got = {(r["doc_id"], r["item_id"]) for r in leakage.edited_leaks(a, b).collect()}
     for r in (0, 5, 10, 15, 20):
         assert sum((1000 * r + i, i) in got for i, _ in items) >= 0.9 * len(items), r
