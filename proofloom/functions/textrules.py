@@ -86,6 +86,22 @@ def local_hedges(text: Column, names: Column) -> Column:
     return found(text, names)
 
 
+def alias_positions(text: Column, aliases: Column) -> Column:
+    """Where any of ``aliases`` stands in a text as whole words, regardless of case: places from 0, in order, each once.
+
+    Aliases under two characters are left out; null and empty texts and null aliases have no places.
+    """
+    known = F.filter(F.coalesce(aliases, F.array().cast("array<string>")), lambda a: F.length(a) >= 2)
+
+    def places(a: Column) -> Column:
+        pieces = F.split(text, F.concat(F.lit(r"(?i)\b\Q"), a, F.lit(r"\E\b")), -1)
+        ends = F.aggregate(F.slice(pieces, 1, F.size(pieces) - 1), F.array().cast("array<int>"), lambda s, p: F.concat(s, F.array(F.coalesce(F.try_element_at(s, F.lit(-1)) + F.length(a), F.lit(0)) + F.length(p))))
+        return F.when(F.size(pieces) > 1, ends).otherwise(F.array().cast("array<int>"))
+
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform(known, places))))
+    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<int>")).otherwise(found)
+
+
 def nominalizations(text: Column, most: int = 6) -> Column:
     """The first ``most`` distinct nouns in -ation or -ition that an ``of`` follows, in lower case."""
     return F.slice(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?:^|[ (])([a-z]{4,}(?:at|it)ion) of "), F.lit(1))), 1, most)

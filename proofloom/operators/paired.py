@@ -70,3 +70,21 @@ def exemplars(pairs: DataFrame, belief: Column, most: int = 8) -> DataFrame:
     x = pairs.select(*KEY, F.round(F.abs(ea - eb), 9).alias("difference"), F.explode(lanes).alias("lane"))
     w = Window.partitionBy("lane").orderBy(F.desc("difference"), *KEY)
     return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most)
+
+
+def side_lanes(pairs: DataFrame, most: int = 8) -> DataFrame:
+    """``most`` pairs of each lane that ``exemplars`` can't hold, the newest first: a_only, b_only, excluded.
+
+    ``pairs`` is the full ``overlap``. A pair of both runs is excluded if a side failed or has no score; ``reason``
+    tells which side and why, null for the other lanes.
+    """
+    bad = {x: F.nullif(F.trim(F.coalesce(f"{x}_error", F.lit(""))), F.lit("")).isNotNull() for x in "ab"}
+    here = {x: F.col(f"{x}_step_hash").isNotNull() for x in "ab"}
+    reason = F.concat_ws(
+        ", ", *[F.when(bad[x], f"{x} failed").when(F.col(f"{x}_score").isNull(), f"{x} has no score") for x in "ab"]
+    )
+    lane = F.when(~here["b"], "a_only").when(~here["a"], "b_only").when(reason != "", "excluded")
+    at = F.coalesce(F.greatest("a_started_at", "b_started_at"), "a_started_at", "b_started_at")
+    x = pairs.select(*KEY, lane.alias("lane"), F.when(lane == "excluded", reason).alias("reason"), at.alias("at")).filter("lane is not null")
+    w = Window.partitionBy("lane").orderBy(F.desc_nulls_last("at"), *KEY)
+    return x.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= most).drop("at")

@@ -220,6 +220,19 @@ def t22_exemplars(s, d):
     return paired.exemplars(x, F.col("belief")).select("lane", F.col("rank").cast("bigint").alias("rank"), "stmt_hash", "evidence_hash")
 
 
+_SIDE = "CASE WHEN nullif(trim(coalesce({0}.error, '')), '') IS NOT NULL THEN '{0} failed' WHEN {0}.score IS NULL THEN '{0} has no score' END"
+
+
+@query(f""", {audit._LATEST}, fu AS (SELECT coalesce(a.stmt_hash, b.stmt_hash) AS stmt_hash, coalesce(a.evidence_hash, b.evidence_hash) AS evidence_hash, a.step_hash AS sa, b.step_hash AS sb,
+    concat_ws(', ', {_SIDE.format('a')}, {_SIDE.format('b')}) AS why, greatest(a.started_at, b.started_at) AS newest
+    FROM (SELECT * FROM latest WHERE run_id = 'run_F') a FULL JOIN (SELECT * FROM latest WHERE run_id = 'run_O') b ON a.stmt_hash = b.stmt_hash AND a.evidence_hash = b.evidence_hash),
+  ln AS (SELECT *, CASE WHEN sb IS NULL THEN 'a_only' WHEN sa IS NULL THEN 'b_only' WHEN why <> '' THEN 'excluded' END AS lane FROM fu)
+  SELECT lane, row_number() OVER (PARTITION BY lane ORDER BY newest DESC NULLS LAST, stmt_hash, evidence_hash) AS rank, stmt_hash, evidence_hash, CASE WHEN lane = 'excluded' THEN why END AS reason FROM ln WHERE lane IS NOT NULL QUALIFY rank <= 8""")
+def t22_side_lanes(s, d):
+    x = paired.side_lanes(paired.overlap(V.step(s, d), "run_F", "run_O", "full"))
+    return x.select("lane", F.col("rank").cast("bigint").alias("rank"), "stmt_hash", "evidence_hash", "reason")
+
+
 @query("SELECT run_id, count(*) AS steps, count(DISTINCT evidence_hash) AS evidences, CAST(sum(latency_ms) AS BIGINT) AS latency_ms, round(CASE WHEN count(DISTINCT evidence_hash) > 0 THEN sum(latency_ms) / 1000.0 / count(DISTINCT evidence_hash) END, 6) AS seconds_per_evidence, round(CAST(sum(prompt_tokens) FILTER (prompt_tokens >= 0) AS DOUBLE) / count(DISTINCT evidence_hash), 6) AS tokens_per_evidence FROM step_v GROUP BY 1")
 def t21_resources(s, d):
     n = F.countDistinct("evidence_hash")
@@ -482,3 +495,15 @@ def c7_folded_names(s, d):
 def c14_local_hedges(s, d):
     p = table(s, d, "fewshot_pool")
     return p.select("record_id", textrules.local_hedges(F.col("evidence_text"), F.array("subject", "object")).alias("markers")).filter(F.size("markers") > 0)
+
+
+def _at_sql(c: str) -> str:
+    pieces = f"string_split_regex(evidence_text, '(?i)\\b\\Q' || {c} || '\\E\\b')"
+    return f"CASE WHEN evidence_text <> '' AND length({c}) >= 2 THEN list_transform(range(1, len({pieces})), lambda i: CAST(list_sum(list_transform(list_slice({pieces}, 1, i), lambda p: length(p))) + (i - 1) * length({c}) AS INT)) ELSE [] END"
+
+
+@query(f"SELECT record_id, {_at_sql('subject')} AS subject_at, {_at_sql('object')} AS object_at FROM fewshot_pool", views=False)
+def c9_alias_positions(s, d):
+    p = table(s, d, "fewshot_pool")
+    at = {c: textrules.alias_positions(F.col("evidence_text"), F.array(c)) for c in ("subject", "object")}
+    return p.select("record_id", at["subject"].alias("subject_at"), at["object"].alias("object_at"))

@@ -47,3 +47,9 @@ def test_local_hedges(spark):
     ]
     df = spark.createDataFrame([(t, n) for t, n, _ in data], "t string, n array<string>")
     assert [r[0] for r in df.select(textrules.local_hedges(F.col("t"), F.col("n"))).collect()] == [w for _, _, w in data]
+
+
+def test_alias_positions(spark):
+    data = [("RSK2 binds rsk2 and RPS6KA3.", ["RSK2", "RPS6KA3", "R"], [0, 11, 20]), ("RSK21", ["RSK2"], []), ("a+b.c", ["b.c", "+b"], [1, 2]), (None, ["ab"], []), ("ab", None, []), ("", ["ab"], [])]
+    df = spark.createDataFrame([(t, a) for t, a, _ in data], "t string, a array<string>")
+    assert [r[0] for r in df.select(textrules.alias_positions(F.col("t"), F.col("a"))).collect()] == [w for _, _, w in data]
