@@ -12,7 +12,8 @@ skipped so far fits its bound (the accumulated partial dot product plus the resi
 skip no more than k terms). A pair of a list is kept only if the partial dot product, plus the least that the two
 residual norms and the largest remaining weight allow, reaches both bounds. Then come the exact dot product and the
 exact word edit distance. No pair within the distance is lost: its first m shared terms always form a set that both
-texts enter, for every m.
+texts enter, for every m up to the number of shared terms; texts that may share no more than m terms give their pairs
+of a long list as well, since no larger set holds them.
 """
 
 from __future__ import annotations
@@ -43,6 +44,11 @@ def _edits(n: Column) -> Column:
     return F.floor(longest * EDITS / 100)
 
 
+def _shared(n: Column) -> Column:
+    """The fewest terms that a text of ``n`` words shares with any text within the distance."""
+    return n - F.floor(n * EDITS / 100)
+
+
 def distance_within(a: list[str], b: list[str], most: int) -> bool:
     """Whether the word edit distance is at most ``most``, by a band of the dynamic programme."""
     if len(a) > len(b):
@@ -127,8 +133,9 @@ def _fits(m: Column | int) -> Column:
 def candidates(v: DataFrame, sides: DataFrame, limit: int = LIST_PAIRS, most: int = SET_TERMS) -> DataFrame:
     """Pairs (a, b) of the texts ``v`` (see ``vectors``) that pass all bounds, written; ``sides`` has f, left and right.
 
-    Lists with more than ``limit`` pairs are grown term by term up to sets of ``most`` terms, whose lists are taken
-    whatever their length (``product_join`` deals long ones out), so nothing is dropped.
+    Lists with more than ``limit`` pairs are grown term by term up to sets of ``most`` terms. Of a list that is grown,
+    the texts that may share no further term give their pairs before; these lists and those of ``most`` terms are
+    taken whatever their length (``product_join`` deals long ones out), so nothing is dropped.
     """
     k = _edits(F.col("size")).cast("int")
     t = v.join(sides, "f").withColumn("k", k).withColumn("norm", F.element_at("cum", -1))
@@ -137,15 +144,19 @@ def candidates(v: DataFrame, sides: DataFrame, limit: int = LIST_PAIRS, most: in
     cur = cut(t.select(*_KEPT, F.explode(first).alias("e")).select(*_KEPT, "e.*").filter(_fits(1)))
     out, done = [], [t, cur]
     for m in range(1, most + 1):
-        sizes = cur.groupBy("sig").agg(F.count_if("left").alias("l"), F.count_if("right").alias("r")).filter("l > 0 and r > 0")
-        lists = cut(sizes.select("sig", (F.col("l") * F.col("r") <= limit).alias("short")))
+        ends = F.lit(m == most) | ((_shared(F.col("size")) <= m) & (F.col("k") > 0))
+        counts = [F.count_if(x).alias(n) for x, n in ((F.col("left"), "l"), (F.col("right"), "r"), (F.col("left") & ends, "le"), (F.col("right") & ends, "re"))]
+        sizes = cur.groupBy("sig").agg(*counts).filter("l > 0 and r > 0")
+        lists = cut(sizes.select("sig", (F.col("l") * F.col("r") <= limit).alias("short"), F.expr("le > 0 and re > 0").alias("ended")))
         here = cur.join(lists, "sig")
         out.append(_pairs(here.filter("short"), lambda a, b: a.join(b, ["sig"])))
         done.append(lists)
-        if lists.filter("not short").isEmpty():
-            break
-        if m == most:
-            out.append(_pairs(cut(here.filter("not short")), lambda a, b: product_join(a, b, ["sig"])))
+        long, ended = lists.filter("not short").agg(F.count("*"), F.count_if("ended")).first()
+        if ended:
+            last = cut(here.filter(F.expr("not short and ended") & ends).drop("short", "ended"))
+            out.append(_pairs(last, lambda a, b: product_join(a, b, ["sig"])))
+            done.append(last)
+        if not long or m == most:
             break
         grow = F.expr(f"CASE WHEN at < size AND at < k + {m + 1} THEN transform(sequence(at + 1, least(k + {m + 1}, size)), i -> " + _ENTRY.format(sig="xxhash64(sig, h[i - 1])", acc="acc") + ") ELSE array() END")
         grown = here.filter("not short").select("f", "sig", "at", "acc").join(t, "f")

@@ -229,3 +229,16 @@ def test_every_near_pair_shares_a_signature(spark):
         other = texts[len(base) + i][1]
         if other != b and _distance(b, other) <= max(len(b), len(other)) * 15 // 100:
             assert (i, 100 + i) in pairs and (100 + i, i) in pairs
+
+
+@pytest.mark.parametrize("block", [4_000, 3])
+def test_short_texts_of_one_pattern_lose_no_pair(spark, monkeypatch, block):
+    monkeypatch.setattr("proofloom.operators.skew.BLOCK", block)
+    six, seven = VOCABULARY[:6], VOCABULARY[6:13]
+    left = [" ".join([*six, f"x{i}"]) for i in range(9)] + [" ".join([f"v{i}", *seven]) for i in range(9)] + [" ".join(six)]
+    right = [" ".join([f"y{i}", *six]) for i in range(9)] + [" ".join([*six[:3], f"z{i}", *six[3:]]) for i in range(9)] + [" ".join([*seven, f"u{i}"]) for i in range(3)] + [" ".join([f"w{i}", *seven]) for i in range(9)]
+    df = spark.createDataFrame([(f"a{i}", t, None, True) for i, t in enumerate(left)] + [(f"b{i}", t, None, False) for i, t in enumerate(right)], "id string, text string, source long, train boolean")
+    near = lambda x, y: _distance(x, y) <= max(len(x), len(y)) * 15 // 100
+    want = {(f"a{i}", f"b{j}") for i, x in enumerate(left) for j, y in enumerate(right) if near(x.split(), y.split())}
+    got = {(r["a"], r["b"]) for r in overlap.split_overlaps(df).collect()}
+    assert got == want and len(want) > 81
